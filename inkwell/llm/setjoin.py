@@ -8,10 +8,11 @@ under the rarest shingles that it cannot do without, and what meets in a list is
 verified on the whole sets. The boundary is the size at which enumeration gets
 dearer than listing and verifying.
 
-Within a list the first set is a pivot, and the others are verified against it
-alone. Lists whose members end up in one component need no more; in the others
-all pairs of sets from different components are verified. So no link between
-components is lost, while a group of n near copies costs about n checks, not n².
+Within a list the first set is a pivot. Each set is first verified against one
+pivot, of those that sizes and parity bitmaps don't rule out. Lists whose
+members end up in one component need no more; in the others all pairs of sets
+from different components are verified. So no link between components is lost,
+while a group of n near copies costs about n checks, not n².
 
 Shingles are 64-bit hashes, classes 128-bit hashes of the sorted shingles.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import comb, log
 
 import numpy as np
@@ -44,8 +45,6 @@ SKETCH, FILTER_BITS = 1 << 18, 1 << 25
 BLOCK = 1 << 15
 #: Bits of a set's parity bitmap, of which two sets differ in no more than they differ in shingles.
 PARITY_BITS = 1024
-#: Pivots of each list.
-PIVOTS = 2
 #: What listing a shingle costs, and what verifying a set costs for each shingle, in enumerated subsets.
 LIST_COST, VERIFY_COST = 2.0, 0.5
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -88,33 +87,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for those seen of late."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) > 500_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
+#: A random 64-bit number for each byte, the same for a and A; which bytes are white space.
+with np.errstate(over="ignore"):
+    _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _P)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, np.int8)
+_SPACE[[9, 10, 11, 12, 13, 32]] = 1
+_POWERS = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def _powers(n: int, sign: int) -> np.ndarray:
+    """The first n powers of the multiplier, or of its inverse, modulo 2 to the power 64."""
+    if len(_POWERS[sign]) < n:
+        factor = np.uint64(pow(int(_P), sign, 1 << 64))
+        _POWERS[sign] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(max(n, 1 << 18) - 1, factor))])
+    return _POWERS[sign][:n]
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of UTF-8 text, A to Z as a to z."""
+    b = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[b], prepend=np.int8(1), append=np.int8(1)))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * _powers(len(b), 1), out=sums[1:])
+    return starts, _mix((sums[ends] - sums[starts]) * _powers(len(b) + 1, -1)[starts])
+
+
+def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text's words; texts are hashed in blocks of about 256 KB."""
+    out: list[np.ndarray] = []
+    block: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        block.append((t or "").encode())
+        size += len(block[-1]) + 1
+        if size > 1 << 18 or i + 1 == len(texts):
+            out += _block_sets(block, width)
+            block, size = [], 0
+    return out
 
 
-_WORDS = _Words()
+def _block_sets(block: list[bytes], width: int) -> list[np.ndarray]:
+    starts, h = _word_hashes(b"\n".join(block))
+    # Each text's words are consecutive; shingles that cross texts are left out by the bounds.
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in block)])).tolist()
+    n = max(0, len(h) - width + 1)
+    whole = np.full(n, width, np.uint64)
+    for i in range(width):
+        whole = whole * _P + h[i : n + i]
+    whole = _mix(whole)
+    out = []
+    for a, b in pairwise(bounds):
+        if b - a >= width:
+            s = np.sort(whole[a : b - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for x in h[a:b]:
+                one = one * _P + x
+            out.append(_mix(one))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text's words, A to Z lower-cased."""
-    # bytes.split() splits at the six ASCII white-space characters, and bytes.lower() changes A to Z alone.
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _mix(out * _P + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    return shingle_sets([text], width)[0]
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -131,7 +170,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             part = whole.slice(at, 512)
-            yield part, [shingles(t) for t in part.column(1).to_pylist()]
+            yield part, shingle_sets(part.column(1).to_pylist())
 
 
 _BLOCKS = pa.schema([("block", pa.int32()), ("data", pa.binary())])
@@ -254,9 +293,9 @@ def _own_key(sig: bytes, doc_id: int | None) -> int:
 
 
 def _items(needed: DataFrame, rows: DataFrame) -> DataFrame:
-    """gid, items: the whole sets of the needed classes (gid, sig, doc_id), made anew from the texts.
+    """sig, items: the whole sets of the needed classes (sig, doc_id), made anew from the texts.
 
-    A filter of a fixed size keeps most other rows from leaving their task; the join decides.
+    A filter of a fixed size keeps most other rows from leaving their task; a join decides.
     """
 
     def fill(batches, out):
@@ -281,42 +320,41 @@ def _items(needed: DataFrame, rows: DataFrame) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["sig", "items"])
 
-    made = rows.mapInArrow(make, "sig binary, items binary").join(needed.select("sig", "gid"), "sig")
-    return made.select("gid", "items").dropDuplicates(["gid"])
+    return rows.mapInArrow(make, "sig binary, items binary")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs that link, by the whole sets.
 
-    Second sets go to the place of their first set; a first set with many pairs is sent to several places.
+    Second sets go to the place of their first set; a first set with many pairs
+    is sent to several places. The sets are joined once, with all that is asked of them.
     """
-    pairs = cut(_close(pairs, classes, percent))
-    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).cast("int").alias("places"))
-    spread = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
-    ids = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
-    items = cut(_items(cut(classes.join(ids, "gid").select("gid", "sig", "doc_id")), rows))
-    first = places.select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")).join(items.withColumnRenamed("gid", "a"), "a").select("a", "place", F.lit(None).cast("bigint").alias("b"), "items")
-    second = spread.join(items.withColumnRenamed("gid", "b"), "b").select("a", "place", "b", "items")
+    own = classes.select("gid", "sig", "doc_id")
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("places"))
+    first = places.select(F.col("a").alias("gid"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(False).alias("second"))
+    second = pairs.join(places, "a").select(F.col("b").alias("gid"), "a", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(True).alias("second"))
+    asked = cut(first.union(second).join(own, "gid"))
+    items = _items(asked.select("sig", "doc_id").distinct(), rows)
 
     def run(batches):
-        own = np.empty(0, np.uint64)
+        held = np.empty(0, np.uint64)
         for part in batches:
             found = ([], [])
-            for a, b, items in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+            for gid, a, second, items in zip(*(part.column(i).to_pylist() for i in range(3)), part.column(3), strict=True):
                 s = np.frombuffer(items.as_buffer(), np.uint64)
-                if b is None:
-                    own = s.copy()
+                if not second:
+                    held = s.copy()
                     continue
-                at = np.searchsorted(own, s)
-                at[at == len(own)] = 0
-                both = int((own[at] == s).sum())
-                if 100 * both >= percent * (len(own) + len(s) - both):
+                at = np.searchsorted(held, s)
+                at[at == len(held)] = 0
+                both = int((held[at] == s).sum())
+                if 100 * both >= percent * (len(held) + len(s) - both):
                     found[0].append(a)
-                    found[1].append(b)
+                    found[1].append(gid)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
-    met = first.union(second).repartition("a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first())
-    return cut(met.mapInArrow(run, "a bigint, b bigint"))
+    met = items.join(asked.select("sig", "gid", "a", "place", "second"), "sig").repartition("a", "place").sortWithinPartitions("a", "place", "second")
+    return cut(met.select("gid", "a", "second", "items").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,23 +391,26 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
     in_list = W.partitionBy("key")
     listed = reps.select("gid", "band", F.explode("listed").alias("key")).withColumn("n", F.count("*").over(in_list)).where("n > 1")
-    # A set stands in the lists of its band and the next one, so that linked sets meet.
+    # A set stands in the lists of its band and the next one, so that linked sets meet. The least set is the pivot.
     in_band = W.partitionBy("key", "band")
-    pivots = [F.min(F.struct(F.xxhash64("gid", F.lit(r)), "gid")).over(in_band)["gid"].alias(f"pivot{r}") for r in range(PIVOTS)]
-    lists = cut(listed.select("key", "gid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).select("key", "band", "gid", F.count("*").over(in_band).alias("n"), *pivots).where("n > 1").drop("n"))
-    stars = lists.select("gid", F.explode(F.array(*(f"pivot{r}" for r in range(PIVOTS)))).alias("pivot")).where("gid != pivot").select(F.least("gid", "pivot").alias("a"), F.greatest("gid", "pivot").alias("b")).distinct()
-    links = _verify(stars, classes, rows, percent).union(light)
-
-    # Lists that are not in one component by now: every pair of sets from different components.
+    lists = listed.select("key", "gid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    lists = cut(lists.select("key", "band", "gid", F.count("*").over(in_band).alias("n"), F.min("gid").over(in_band).alias("pivot")).where("n > 1").drop("n"))
+    stars = _close(lists.where("gid != pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), classes, percent)
+    # One check a set comes first: it joins the most part of each group.
+    once = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _verify(once, classes, rows, percent).union(light)
     comp = cut(components(links))
+    # Lists that are not in one component by then: every pair of sets from different components that wasn't checked.
     named = lists.select("key", "band", "gid").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     mixed = cut(named.select("*", (F.min("comp").over(in_band) != F.max("comp").over(in_band)).alias("mixed")).where("mixed").select("key", "band", "gid", "comp"))
     other = mixed.toDF("key", "band", "gid2", "comp2")
-    rest = mixed.join(other, ["key", "band"]).where("comp < comp2").select(F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verify(rest, classes, rows, percent)
-    if more.limit(1).count():
+    rest = mixed.join(other, ["key", "band"]).where("comp < comp2").select(F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")).distinct()
+    rest = cut(_close(rest.join(once, ["a", "b"], "left_anti"), classes, percent))
+    if rest.limit(1).count():
+        more = _verify(rest, classes, rows, percent)
         links = links.union(more)
-        comp = cut(components(links))
+        if more.limit(1).count():
+            comp = cut(components(links))
     named_groups = groups.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_sig = named_groups.join(least, "comp").select("sig", "gid", "component_id")
