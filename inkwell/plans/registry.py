@@ -1,4 +1,4 @@
-"""Collects the queries of all plan modules."""
+"""Collects the queries of all plan modules, each with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,17 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its oracle where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from inkwell.plans import aggregates, composites, graphs, identity, incremental, ranking, retrieval, scalars, scores, sinks, timeseries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a1_weekly_velocity"](spark, sf_dir)
+    return queries()["a1_a2_weekly_velocity"](spark, sf_dir)
