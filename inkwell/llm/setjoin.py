@@ -43,7 +43,7 @@ WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch, 8 bytes each, and bits of the filter of needed classes: fixed sizes, whatever the input.
 SKETCH, FILTER_BITS = 1 << 18, 1 << 25
 BLOCK = 1 << 15
-#: Bits of a set's parity bitmap, of which two sets differ in no more than they differ in shingles.
+#: Least bits of a set's parity bitmap, in which two sets differ in no more bits than they differ in shingles.
 PARITY_BITS = 1024
 #: What listing a shingle costs, and what verifying a set costs for each shingle, in enumerated subsets.
 LIST_COST, VERIFY_COST = 2.0, 0.5
@@ -161,8 +161,10 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount(((s >> np.uint64(40)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """As many bits as shingles, rounded up to a power of two, so that large sets can be told apart too."""
+    bits = max(PARITY_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount(((s >> np.uint64(24)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -283,7 +285,10 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sizes and parity bitmaps don't rule out."""
     side = lambda x: classes.select(F.col("gid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    differ = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # Sizes that can link differ by one power of two at most; the halves of the longer bitmap are then added modulo 2.
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2 + 1).cast("int"), (F.size(p) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), half(F.col(p))).otherwise(F.col(p))
+    differ = F.aggregate(F.zip_with(fold("p_a", "p_b"), fold("p_b", "p_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     return both.where(differ <= F.col("n_a") + F.col("n_b") - 2 * overlap).select("a", "b")
 
