@@ -31,3 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
 def text_of(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, their columns computed here once.
+
+    A filter on a computed column would otherwise move below the projections,
+    and repeat each expression wherever a later one refers to it. No filter
+    moves below a generator.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACE, WORD
+from inkwell.llm.common import SPACE, WORD, settled
 
 WINDOW = 8
 
@@ -54,12 +54,12 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_bangs"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
     )
     rows = rows.select("*", _repeated(F.col("words")).alias("keys"))
-    return rows.select(
+    return settled(rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), (F.col("n_chars") - F.col("n_spaces")).cast("long").alias("word_chars"), "n_symbols",
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("keys").isNotNull() & (F.size(F.array_distinct("keys")) < F.size("keys")), _covered(F.col("keys"))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"), "n_upper", "n_bangs",
-    )
+    ))
 
 
 def _c(name: str) -> Column:

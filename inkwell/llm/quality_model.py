@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACE, WORD
+from inkwell.llm.common import SPACE, WORD, settled
 
 MOST_ROWS, TREES, DEPTH, BINS, PENALTY, STEPS, SEED = 20_000, 24, 3, 24, 0.004, 300, 7
 THRESHOLD = 0.3
@@ -63,7 +63,7 @@ def statistics(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
         "bangs": per_word(F.col("c_bangs")), "stops": per_word(F.col("c_stops")), "tags": per_char(F.col("c_tags")), "line_words": n / (F.col("c_lines") + 1), "short": per_word(F.col("c_short")),
         "again": per_word(F.col("c_again")), "distinct": per_word(F.size(F.array_distinct("words")).cast("double")), "lone": F.when(n > 0, F.log1p(F.length(F.array_max("words")).cast("double"))).otherwise(0.0),
     }
-    return rows.select(*keep, *(made[k].alias(k) for k in STATISTICS))
+    return settled(rows.select(*keep, *(made[k].alias(k) for k in STATISTICS)))
 
 
 #: A condition is (statistic, threshold, whether above); a rule holds where all its conditions do.
