@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +57,7 @@ def venue_scores(path: str, default: float = 15) -> dict[str, float]:
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a registry's JSON; a file that can't be read gives none."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     shape = "struct<entries:map<string,struct<paper_id:string,title_normalized:string,identifiers:map<string,string>,topic_affiliations:array<string>,extraction_target_hash:string,processed_at:timestamp>>>"
     return raw.select(F.explode(F.map_values(F.from_json("value", shape)["entries"])).alias("e")).select("e.*")
 
@@ -67,14 +65,14 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(paper_id, content, metadata) of folders that hold content.md and metadata.json; both sides are read in parallel."""
     paper = lambda df: df.withColumn("paper_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
-    text = paper(spark.read.option("wholetext", True).text(f"{folder}/*/content.md")).select("paper_id", F.col("value").alias("content"))
-    meta = paper(spark.read.option("wholetext", True).text(f"{folder}/*/metadata.json")).select("paper_id", F.col("value").alias("metadata"))
+    text = paper(spark.read.text(f"{folder}/*/content.md", wholetext=True)).select("paper_id", F.col("value").alias("content"))
+    meta = paper(spark.read.text(f"{folder}/*/metadata.json", wholetext=True)).select("paper_id", F.col("value").alias("metadata"))
     return text.join(meta, "paper_id", "left")
 
 
 def feedback(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON array; a file that can't be parsed gives none."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", FEEDBACK)).alias("e")).select("e.*").where("id is not null and rating in ('thumbs_up', 'thumbs_down', 'neutral')")
 
 
@@ -87,7 +85,7 @@ def trajectories(spark: SparkSession, folder: str) -> DataFrame:
 def reports(spark: SparkSession, folder: str, day: str | None = None) -> DataFrame:
     """(report_id, text) of markdown briefs, of one day if given."""
     pattern = f"{folder}/*{day}*.md" if day else f"{folder}/*.md"
-    return spark.read.option("wholetext", True).text(pattern).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("report_id"), F.col("value").alias("text"))
+    return spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("report_id"), F.col("value").alias("text"))
 
 
 def best_extraction(attempts: DataFrame, least: float) -> DataFrame:
@@ -96,6 +94,3 @@ def best_extraction(attempts: DataFrame, least: float) -> DataFrame:
     best = F.max(F.struct("quality", (-F.col("place")).alias("p"), "backend"))
     return attempts.groupBy("doc").agg(enough.alias("e"), best.alias("b")).select("doc", F.coalesce("e.backend", "b.backend").alias("backend"), F.coalesce("e.quality", "b.quality").alias("quality"))
 
-
-def literal_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"))
