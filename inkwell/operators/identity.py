@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from inkwell.functions import text as T
 from inkwell.lineage import cut
@@ -20,6 +20,35 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _common(masks: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence, all cells of a row of its table at once as bits of one number."""
+    row = full = (1 << n) - 1
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
+def ratio_reaches(threshold: float):
+    """Whether the difflib ratio of two columns reaches a threshold; a common subsequence, which is never shorter than the matching blocks, rules most pairs out."""
+
+    @F.pandas_udf(BooleanType())
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        out, last, masks = [], None, {}
+        for x, y in zip(a, b, strict=True):
+            if x != last:
+                last, masks = x, {}
+                for i, c in enumerate(x):
+                    masks[c] = masks.get(c, 0) | 1 << i
+            need = threshold * (len(x) + len(y)) / 2 - 1e-9
+            out.append(_common(masks, len(x), y) >= need and SequenceMatcher(None, x, y).ratio() >= threshold)
+        return pd.Series(out, dtype="bool")
+
+    return test
+
+
 def target_hash(targets: DataFrame, by: list[str]) -> DataFrame:
     """F-STR11: ``target_hash`` of each group's (name, description, output_format, required, pos), in the order of names."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
@@ -92,7 +121,7 @@ def dedup_against(batch: DataFrame, index: DataFrame, threshold: float = 0.90) -
     banded = grams(lk, "k").join(grams(rk, "q"), "t").where((F.length("k") >= low * F.length("q")) & (F.length("q") >= low * F.length("k")) & (F.col("k") != F.col("q")))
     shared = banded.groupBy("pos", "k", "q", "kn").agg(F.count("*").alias("n"))
     # At most (1 - t) (|a| + |b|) characters are unmatched, and each breaks three trigrams at most.
-    near = shared.where(F.col("n") >= F.col("kn") - 3 * (1 - threshold) * both).where(sequence_ratio(F.col("k"), F.col("q")) >= threshold).select("pos")
+    near = shared.where(F.col("n") >= F.col("kn") - 3 * (1 - threshold) * both).where(ratio_reaches(threshold)(F.col("k"), F.col("q"))).select("pos")
     return left.join(same.union(near).distinct(), "pos", "left_anti")
 
 
