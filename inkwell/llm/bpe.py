@@ -28,10 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Chunks of a worker's table, and characters in them, after which it starts anew.
-KEPT_CHUNKS, KEPT_CHARS = 600_000, 20_000_000
+#: Chunks of a worker's table, characters in them, and words, after which each table starts anew.
+KEPT_CHUNKS, KEPT_CHARS, KEPT_WORDS = 200_000, 10_000_000, 300_000
 #: Characters of the texts whose distinct words share a trie, and rows at most.
-SLICE_CHARS, SLICE_ROWS = 4_000_000, 2048
+SLICE_CHARS, SLICE_ROWS = 2_000_000, 2048
 #: A text of these characters only is in NFC, and str.lower() and str.split() agree with the normalizer on it.
 _ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
 #: The one splitting pattern that is also compiled for Python, over the letters and numbers below U+0250.
@@ -221,7 +221,9 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, from one trie of the batch's new words."""
         if len(self.chunks) > KEPT_CHUNKS or self.chunks.chars > KEPT_CHARS:
-            self.chunks, self.words = Table(), {}
+            self.chunks = Table()
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
         parts = [self._parts(t) for t in texts]
         codes: list[np.ndarray] = []
         ends = []
@@ -239,8 +241,11 @@ class Codec:
                 n += len(codes[-1])
             ends.append(n)
         written = [c if c[0] == "\1" else self._written(c) for c in chunks.new]
-        self.words.update(self.pairs.encode_all({w for ws in written if ws.__class__ is list for w in ws if w not in self.words}))
-        chunks.put([pack(f"<{len(x)}I", *x) for ws in written for x in ([i for w in ws for i in self.words[w]] if ws.__class__ is list else [self.special[ws[1:]]],)])
+        made = self.pairs.encode_all({w for ws in written if ws.__class__ is list for w in ws if w not in self.words})
+        self.words.update((w, pack(f"<{len(x)}I", *x)) for w, x in made.items() if len(w) <= 64)
+        long = {w: pack(f"<{len(x)}I", *x) for w, x in made.items() if len(w) > 64}
+        get = (lambda w: self.words.get(w) or long[w]) if long else self.words.__getitem__
+        chunks.put([b"".join(map(get, ws)) if ws.__class__ is list else pack("<I", self.special[ws[1:]]) for ws in written])
         flat, at = chunks.take(np.concatenate(codes) if codes else np.empty(0, np.int64))
         return [np.frombuffer(flat[a:b], "<u4") for a, b in pairwise([0, *at[ends].tolist()])]
 
@@ -312,6 +317,7 @@ def _rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Record
     c = codec(shared)
     for part in _slices(batches):
         yield part, c.encode_batch([t or "" for t in part.column(1).to_pylist()])
+    pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,6 +175,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for at in range(0, whole.num_rows, 512):
             part = whole.slice(at, 512)
             yield part, shingle_sets(part.column(1).to_pylist())
+    pa.default_memory_pool().release_unused()
 
 
 _BLOCKS = pa.schema([("block", pa.int32()), ("data", pa.binary())])
