@@ -10,11 +10,10 @@ dearer than listing and verifying.
 
 Within a list the first set is a pivot. Each set is first verified against one
 pivot, of those that sizes and parity bitmaps don't rule out. Lists whose
-members end up in one component need no more. In the others each set outside
-the largest component is verified against its nearest one by the bitmaps, and
-then all pairs of sets from different components that are close. So no link
-between components is lost, while a group of n near copies costs about n
-checks, not n².
+members end up in one component need no more. In the others each set is
+verified against two more sets drawn by hash, and then all pairs of sets from
+different components that are close. So no link between components is lost,
+while a group of n near copies costs about n checks, not n².
 
 Shingles are 64-bit hashes, classes 128-bit hashes of the sorted shingles.
 
@@ -394,98 +393,17 @@ def roots(links: DataFrame) -> DataFrame:
             return up
 
 
-def _fold(p: np.ndarray, longs: int) -> np.ndarray:
-    """Parity bitmaps of fewer bits from those of more."""
-    while p.shape[-1] > longs:
-        half = p.shape[-1] // 2
-        p = p[..., :half] ^ p[..., half:]
-    return p
-
-
-class _Minor:
-    """The sets of one block that are outside a list's largest component, to be met by the list's other sets one by one."""
-
-    def __init__(self, percent: int, nearest: bool):
-        self.percent, self.nearest = percent, nearest
-        self.rows: list[tuple[int, int, int, np.ndarray]] = []
-        self.groups: list[list] | None = None
-
-    def _ready(self) -> list[list]:
-        if self.groups is None:
-            by: dict[int, list] = {}
-            for r in self.rows:
-                by.setdefault(len(r[3]), []).append(r)
-            self.groups = []
-            for longs, rs in by.items():
-                gid, comp, n = (np.array([r[i] for r in rs], np.int64) for i in range(3))
-                self.groups.append([longs, gid, comp, n, {longs: np.stack([r[3] for r in rs])}, np.full(len(rs), 1 << 60), np.full(len(rs), -1)])
-        return self.groups
-
-    def meet(self, gid: int, comp: int, n: int, bits: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        for longs, gids, comps, sizes, made, best, who in self._ready():
-            t = min(longs, len(bits))
-            if t not in made:
-                made[t] = _fold(made[longs], t)
-            differ = np.bitwise_count(made[t] ^ _fold(bits, t)).sum(1, dtype=np.int64)
-            both = sizes + n
-            ok = (comps != comp) & (100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n)) & (differ <= both - 2 * -(-self.percent * both // (100 + self.percent)))
-            if self.nearest:
-                closer = ok & (differ < best)
-                best[closer], who[closer] = differ[closer], gid
-            else:
-                out += [(min(gid, g), max(gid, g)) for g in gids[ok].tolist()]
-        return out
-
-    def found(self) -> list[tuple[int, int]]:
-        return [(min(a, b), max(a, b)) for _, gids, _, _, _, _, who in self._ready() for a, b in zip(gids.tolist(), who.tolist(), strict=True) if b >= 0] if self.nearest and self.rows else []
-
-
-def _across(lists: DataFrame, comp: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """a, b: pairs of sets that share a list but no component and that sizes and bitmaps don't rule out.
-
-    ``nearest`` gives each set outside a list's largest component its nearest
-    set by the bitmaps alone. The pairs are compared in blocks of about 256 by
-    256 sets, inside the tasks: what isn't close leaves no row.
-    """
+def _across(lists: DataFrame, comp: DataFrame, seeds: int) -> DataFrame:
+    """a, b: pairs of sets that share a list but no component: each set with ``seeds`` sets of its list drawn by hash, or all pairs for 0."""
+    in_band = W.partitionBy("key", "band")
     named = lists.select("key", "band", "gid").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
-    counts = named.groupBy("key", "band", "comp").agg(F.count("*").alias("n"))
-    parts = counts.groupBy("key", "band").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / 256).cast("int")
-    sized = parts.select("key", "band", F.col("most.comp").alias("major"), blocks(F.col("n") - F.col("most.n")).alias("left"), blocks(F.col("n")).alias("right"))
-    rows = cut(named.join(sized, ["key", "band"])).join(classes.select("gid", "n_shingles", "parity"), "gid")
-    own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("key", "band", "l", "r", "second", "gid", "comp", "n_shingles", "parity")
-    first = rows.where("comp != major").withColumn("l", own("left")).withColumn("r", every("right")).withColumn("second", F.lit(False))
-    second = rows.withColumn("r", own("right")).withColumn("l", every("left")).withColumn("second", F.lit(True))
-
-    def run(batches):
-        unit, held, pairs = None, _Minor(percent, nearest), []
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                part = whole.slice(at, 1024)
-                bits = part.column(8)
-                ends = bits.offsets.to_numpy()
-                flat = bits.values.to_numpy()
-                for i, (*here, later, gid, comp, n) in enumerate(zip(*(part.column(c).to_pylist() for c in range(8)), strict=True)):
-                    if here != unit:
-                        pairs += held.found()
-                        unit, held = here, _Minor(percent, nearest)
-                    p = flat[ends[i] : ends[i + 1]]
-                    if later:
-                        pairs += held.meet(gid, comp, n, p) if held.rows else []
-                    else:
-                        held.rows.append((gid, comp, n, p.copy()))
-                if pairs:
-                    pairs = list(set(pairs))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
-                    pairs = []
-        pairs += held.found()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
-
-    dealt = first.select(*columns).union(second.select(*columns)).repartition("key", "band", "l", "r").sortWithinPartitions("key", "band", "l", "r", "second")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    drawn = [F.min(F.struct(F.xxhash64("gid", F.lit(i)).alias("h"), "gid", "comp")).over(in_band).alias(f"drawn{i}") for i in range(seeds)]
+    mixed = cut(named.select("*", (F.min("comp").over(in_band) != F.max("comp").over(in_band)).alias("mixed"), *drawn).where("mixed").drop("mixed"))
+    if seeds:
+        pairs = mixed.select("gid", "comp", F.explode(F.array(*(f"drawn{i}" for i in range(seeds)))).alias("o")).select("gid", "comp", F.col("o.gid").alias("gid2"), F.col("o.comp").alias("comp2")).where("comp != comp2")
+    else:
+        pairs = mixed.join(mixed.toDF("key", "band", "gid2", "comp2"), ["key", "band"]).where("comp < comp2")
+    return pairs.select(F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")).distinct()
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -523,9 +441,9 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     links = _verify(once, classes, rows, percent)
     comp = roots(links)
     links = links.union(light)
-    # Lists that are not in one component by then: first each set's nearest one outside its component, then every pair that is close.
-    for nearest in (True, False):
-        rest = cut(_across(lists, comp, classes, percent, nearest).join(once, ["a", "b"], "left_anti"))
+    # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
+    for seeds in (2, 0):
+        rest = cut(_close(_across(lists, comp, seeds).join(once, ["a", "b"], "left_anti"), classes, percent))
         if rest.limit(1).count():
             more = _verify(rest, classes, rows, percent)
             links = links.union(more)
