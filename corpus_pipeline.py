@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, mixing, pii, quality_model, setjoin
 
+#: Words of a shingle and hundredths of similarity at which two documents are near copies; looser than op8's contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -43,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are in no group. Rows that repeat an id are kept once.
     """
-    kept = setjoin.classify(docs)[0].where("component_id = doc_id or component_id is null").select("doc_id", "n_shingles").distinct()
+    kept = setjoin.classify(docs, percent=NEAR_PERCENT, words=NEAR_WORDS)[0]
+    kept = kept.where("component_id = doc_id or component_id is null").select("doc_id", "n_shingles").distinct()
     own = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     once = F.row_number().over(W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
     nameless = docs.where("doc_id is null")

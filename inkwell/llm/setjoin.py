@@ -168,12 +168,12 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of the batches, whose first columns are doc_id and text, with the rows' sets."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             part = whole.slice(at, 512)
-            yield part, shingle_sets(part.column(1).to_pylist())
+            yield part, shingle_sets(part.column(1).to_pylist(), words)
     pa.default_memory_pool().release_unused()
 
 
@@ -202,11 +202,11 @@ def _gathered(rows: DataFrame, fill: Callable, size: int, start: type, total: ty
     return out
 
 
-def ranks(rows: DataFrame) -> np.ndarray:
+def ranks(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """A coarse frequency rank for each hash bucket of shingles, 0 for all that isn't clearly common."""
 
     def fill(batches, out):
-        for _, found in _texts(batches):
+        for _, found in _texts(batches, words):
             if found:
                 out += np.bincount((np.concatenate(found) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
 
@@ -243,16 +243,16 @@ def band(n: int, percent: int = PERCENT) -> int:
     return int(log(n) / log(100 / percent) + 1e-9)
 
 
-def sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """uid and, of each row (doc_id, text), the set's size, band, class, parity bitmap and keys."""
-    shared = rows.sparkSession.sparkContext.broadcast(ranks(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(ranks(rows, words))
     light = boundary(percent)
     # A light set of which every partner is light needs no list.
     alone = percent * light // 100
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        for part, found in _texts(batches):
+        for part, found in _texts(batches, words):
             listed, small, large = [], [], []
             for s in found:
                 n = len(s)
@@ -299,7 +299,7 @@ def _own_key(sig: bytes, doc_id: int | None) -> int:
     return xxhash.xxh64_intdigest(sig + (b"" if doc_id is None else int(doc_id).to_bytes(8, "little", signed=True)))
 
 
-def _items(needed: DataFrame, rows: DataFrame) -> DataFrame:
+def _items(needed: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """sig, items: the whole sets of the needed classes (sig, doc_id), made anew from the texts.
 
     A filter of a fixed size keeps most other rows from leaving their task; a join decides.
@@ -315,7 +315,7 @@ def _items(needed: DataFrame, rows: DataFrame) -> DataFrame:
 
     def make(batches):
         bits = shared.value
-        for part, found in _texts(batches):
+        for part, found in _texts(batches, words):
             keep, sigs = [], []
             for i, (doc_id, s) in enumerate(zip(part.column(0).to_pylist(), found, strict=True)):
                 if len(s):
@@ -330,7 +330,7 @@ def _items(needed: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "sig binary, items binary")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
     """a, b: the pairs that link, by the whole sets.
 
     Second sets go to the place of their first set; a first set with many pairs
@@ -341,7 +341,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
     first = places.select(F.col("a").alias("gid"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(False).alias("second"))
     second = pairs.join(places, "a").select(F.col("b").alias("gid"), "a", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(True).alias("second"))
     asked = cut(first.union(second).join(own, "gid"))
-    items = _items(asked.select("sig", "doc_id").distinct(), rows)
+    items = _items(asked.select("sig", "doc_id").distinct(), rows, words)
 
     def run(batches):
         held = np.empty(0, np.uint64)
@@ -415,7 +415,7 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut(below.union(upper.join(comp.select("gid"), "gid", "left_anti")))
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Membership and links.
 
     Membership has a row per row of df: doc_id, n_shingles, class_id (null for an
@@ -423,7 +423,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     verified; they join all classes of a component.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = sets(rows, percent)
+    table = sets(rows, percent, words)
     groups = cut(table.where("n_shingles > 0").groupBy("sig").agg(F.min("uid").alias("gid"), F.min("doc_id").alias("least_id")))
     reps = table.join(groups.select(F.col("gid").alias("uid")), "uid").withColumnRenamed("uid", "gid")
     classes = cut(reps.select("gid", "n_shingles", "sig", "parity", "doc_id"))
@@ -438,14 +438,14 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     stars = _close(lists.where("gid != pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), classes, percent)
     # One check a set comes first: it joins the most part of each group.
     once = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _verify(once, classes, rows, percent)
+    links = _verify(once, classes, rows, percent, words)
     comp = roots(links)
     links = links.union(light)
     # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
     for seeds in (2, 0):
         rest = cut(_close(_across(lists, comp, seeds).join(once, ["a", "b"], "left_anti"), classes, percent))
         if rest.limit(1).count():
-            more = _verify(rest, classes, rows, percent)
+            more = _verify(rest, classes, rows, percent, words)
             links = links.union(more)
             comp = _joined(comp, more)
             once = once.union(rest)
