@@ -2,9 +2,9 @@
 
 A k-mer of code points is an anchor when the smallest of its inner s-mers is its
 first or its last one. That depends on the k-mer alone, so the same passage has
-the same anchors in any text. A fingerprint keeps the anchors of smallest hash
-with their first positions; two fingerprints are compared by the anchors that
-both have at one common displacement.
+the same anchors in any text. A fingerprint keeps all distinct anchors with their
+first positions, at one density for every length; two fingerprints are compared
+by the anchors that both have at one common displacement.
 
 Defined results: a null text is an empty one; an empty text's fingerprint is
 ``0:`` and its likeness is 1 to another empty one and 0 to any other. A text of
@@ -15,7 +15,7 @@ results; rows with equal ids are ordered by text, and a null id comes last.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from base64 import b64decode, b64encode
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S = 16, 8
-#: Anchors that a fingerprint keeps, and the displacement within which positions agree.
-KEPT, DRIFT = 64, 64
+#: The displacement within which positions agree.
+DRIFT = 64
+#: Characters of results that a task holds before it passes them on.
+HELD = 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,46 +81,42 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return hashes, at[first]
 
 
-Sketch = tuple[int, dict[int, int]]
+#: Hashes and first positions, in the order of the hashes.
+Sketch = tuple[np.ndarray, np.ndarray]
+_ANCHOR = np.dtype([("hash", "<u8"), ("position", "<u4")])
 
 
-def sketch(text: str, kept: int = KEPT) -> Sketch:
-    """The number of anchors, and the positions of those with the smallest hashes, in the order of the hashes."""
-    hashes, at = anchors(text)
-    return len(hashes), dict(zip(hashes[:kept].tolist(), at[:kept].tolist(), strict=True))
+def sketch(text: str) -> Sketch:
+    """All anchors of the text."""
+    return anchors(text)
 
 
 def write(sk: Sketch) -> str:
-    """The fingerprint: ``number of anchors:`` and, comma-joined, hash.position in hexadecimal."""
-    return f"{sk[0]}:" + ",".join([f"{h:016x}.{p:x}" for h, p in sk[1].items()])
+    """The fingerprint: ``number of anchors:`` and, in base64, 8 bytes of hash and 4 of position for each, little-endian."""
+    out = np.empty(len(sk[0]), _ANCHOR)
+    out["hash"], out["position"] = sk
+    return f"{len(out)}:" + b64encode(out.tobytes()).decode()
 
 
 def parse(fp: str) -> Sketch:
-    n, _, rest = fp.partition(":")
-    return int(n), {int(h, 16): int(p, 16) for h, p in (x.split(".") for x in rest.split(",") if x)}
+    got = np.frombuffer(b64decode(fp.partition(":")[2]), _ANCHOR)
+    return got["hash"].astype(np.uint64), got["position"].astype(np.int64)
 
 
-def likeness(a: Sketch, b: Sketch, kept: int = KEPT, drift: int = DRIFT) -> float:
-    """Share of the anchors of either text that both have at one displacement, judged by the smallest hashes of the union."""
-    (n, x), (m, y) = a, b
-    if a == b:
+def likeness(a: Sketch, b: Sketch, drift: int = DRIFT) -> float:
+    """Share of the anchors of either text that both have at one displacement."""
+    (x, at_x), (y, at_y) = a, b
+    if np.array_equal(x, y) and np.array_equal(at_x, at_y):
         return 1.0
-    if not n or not m:
+    if not len(x) or not len(y):
+        return 0.0
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
         return 0.0
-    # A cut list says nothing about hashes beyond its last one.
-    ends = [next(reversed(p)) for c, p in (a, b) if c > len(p)]
-    union = sorted(x.keys() | y.keys())
-    if ends:
-        union = union[: bisect_right(union, min(ends))]
-    union = union[:kept]
     # Neighbouring steps share a counter, so that a displacement near a step's end is counted whole.
-    shifts: dict[int, int] = {}
-    for h in x.keys() & y.keys():
-        if h <= union[-1]:
-            near = (y[h] - x[h]) // drift
-            shifts[near] = shifts.get(near, 0) + 1
-            shifts[near + 1] = shifts.get(near + 1, 0) + 1
-    return max(shifts.values(), default=0) / len(union)
+    near = (at_y[j] - at_x[i]) // drift
+    most = np.unique(np.concatenate([near, near + 1]), return_counts=True)[1].max()
+    return int(most) / (len(x) + len(y) - len(both))
 
 
 def edited(text: str, following: str) -> str:
@@ -191,26 +189,27 @@ def compare_edits(ordered: DataFrame) -> DataFrame:
                     before = None if guest else (bucket, doc_id, text, own or sketch(text))
 
     def run(batches):
-        held = []
+        held, size = [], 0
         for r in rows(batches):
             held.append(r)
-            if len(held) == 1024:
+            size += len(r[3]) + len(r[4])
+            if len(held) == 1024 or size > HELD:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-                held = []
+                held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint of every whole text."""
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                made = [write(sketch(t or "", kept)) for t in part.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, 64):
+                part = whole.slice(at, 64)
+                made = [write(sketch(t or "")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
 
     return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, "doc_id bigint, fingerprint string")
