@@ -364,6 +364,32 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int,
     return cut(met.select("gid", "a", "second", "items").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def _paired(left: DataFrame, right: DataFrame, on: list[str], size: int = 256) -> DataFrame:
+    """x, y: every pair of a left and a right gid of equal keys; a key of many rows is dealt in blocks, each pair of blocks to a place of its own."""
+    blocks = lambda side, n: side.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("int").alias(n))
+    counts = blocks(left, "n_x").join(blocks(right, "n_y"), on)
+    own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = left.join(counts, on).select(*on, F.col("gid").alias("x"), own("n_x").alias("i"), "n_y").select(*on, "x", "i", every("n_y").alias("j"))
+    y = right.join(counts, on).select(*on, F.col("gid").alias("y"), own("n_y").alias("j"), "n_x").select(*on, "y", "j", every("n_x").alias("i"))
+    return x.join(y, [*on, "i", "j"]).where("x != y").select("x", "y")
+
+
+def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """a, b: all links of distinct classes: the light pairs with a common key, and every close pair of a list, verified."""
+    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: reps.select("gid", F.explode(c).alias("key"))
+    light = cut(ordered(_paired(side("small"), side("large"), ["key"])))
+    members = lists.select("key", "band", "gid")
+    heavy = cut(_close(ordered(_paired(members, members, ["key", "band"])).join(light, ["a", "b"], "left_anti"), classes, percent))
+    return light.union(_verify(heavy, classes, rows, percent, words))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """gid, n_links: how many other classes each class links to, from all links."""
+    return links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("n_links"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """gid, comp: the least node reachable from each node of the links (a, b), by alternating stars to and from the least neighbour."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
@@ -415,12 +441,13 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut(below.union(upper.join(comp.select("gid"), "gid", "left_anti")))
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership and links.
 
     Membership has a row per row of df: doc_id, n_shingles, class_id (null for an
     empty set), component_id. Links are pairs (a, b) of class ids that were
-    verified; they join all classes of a component.
+    verified; they join all classes of a component. With ``every`` they are all
+    links of distinct classes, whose number grows with the square of a group.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = sets(rows, percent, words)
@@ -456,4 +483,4 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     # Empty sets get keys of their own and match nothing.
     key = F.when(F.col("n_shingles") > 0, F.col("sig")).otherwise(F.concat(F.lit("none-"), F.xxhash64("doc_id").cast("string")).cast("binary"))
     members = table.select("doc_id", "n_shingles", key.alias("sig")).join(by_sig, "sig", "left")
-    return members.select("doc_id", "n_shingles", F.col("gid").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), links
+    return members.select("doc_id", "n_shingles", F.col("gid").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), every_link(reps, lists, classes, rows, percent, words) if every else links
