@@ -11,9 +11,12 @@ dearer than listing and verifying.
 Within a list the first set is a pivot. Each set is first verified against one
 pivot, of those that sizes and parity bitmaps don't rule out. Lists whose
 members end up in one component need no more. In the others each set is
-verified against two more sets drawn by hash, and then all pairs of sets from
-different components that are close. So no link between components is lost,
-while a group of n near copies costs about n checks, not n².
+verified against two more sets drawn by hash. At last every pair of sets from
+different components that share a list is held against sizes, places in the
+lists and parity bitmaps, and what these don't rule out is verified. Pairs of
+long lists are compared inside tasks, block by block, and become rows only if
+they pass. So no link between components is lost, while a group of n near copies
+costs about n checks of whole sets, not n².
 
 Shingles are 64-bit hashes, classes 128-bit hashes of the sorted shingles.
 
@@ -46,6 +49,10 @@ SKETCH, FILTER_BITS = 1 << 18, 1 << 25
 BLOCK = 1 << 15
 #: Least bits of a set's parity bitmap, in which two sets differ in no more bits than they differ in shingles.
 PARITY_BITS = 1024
+#: Members up to which the pairs of a list are rows; sets of a block of a longer list; pairs that a task compares at once.
+SHORT, SIDE, AT_ONCE = 16, 2048, 1 << 16
+#: Buckets of list keys that are counted; keys of a bucket with over 1 / HOT of all entries are counted by partial sums, others by a window.
+KEY_BUCKETS, HOT, LEAST_HOT = 1 << 14, 4096, 2000
 #: What listing a shingle costs, and what verifying a set costs for each shingle, in enumerated subsets.
 LIST_COST, VERIFY_COST = 2.0, 0.5
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -277,10 +284,10 @@ def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
 def _light_links(reps: DataFrame) -> DataFrame:
     """a, b: links of light sets. A smaller and a larger side with a common key link; each goes to the least of the other side."""
     side = lambda c, first: reps.select("gid", F.lit(first).alias("first"), F.explode(c).alias("key"))
-    w = W.partitionBy("key")
-    least = lambda first: F.min(F.when(F.col("first") == first, F.col("gid"))).over(w)
-    met = side("small", True).union(side("large", False)).select("*", least(True).alias("s"), least(False).alias("l")).withColumn("other", F.when(F.col("first"), F.col("l")).otherwise(F.col("s")))
-    return met.where("other is not null and other != gid").select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).distinct()
+    sides = cut(side("small", True).union(side("large", False)))
+    least = lambda first: F.min(F.when(F.col("first") == first, F.col("gid")))
+    met = sides.join(sides.groupBy("key").agg(least(True).alias("s"), least(False).alias("l")), "key").withColumn("other", F.when(F.col("first"), F.col("l")).otherwise(F.col("s")))
+    return met.where("other != gid").select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).distinct()
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -364,6 +371,134 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int,
     return cut(met.select("gid", "a", "second", "items").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def _lists(reps: DataFrame) -> DataFrame:
+    """key, band, gid, n, at, pivot: who stands where in which list of two sets or more; ``at`` is the key's place among the set's own.
+
+    A set stands in the lists of its band and the next one, so that linked sets
+    meet. The least set of a list is its pivot.
+    """
+    entries = reps.select("gid", "band", F.col("n_shingles").cast("int").alias("n"), F.posexplode("listed").alias("at", "key"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")
+    counts = cut(entries.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    limit = max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    # At most HOT of them.
+    hot = [r["bucket"] for r in counts.where(F.col("n") > limit).select("bucket").collect()]
+    often = bucket.isin(hot) if hot else F.lit(False)
+    banded = lambda e: e.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    in_key, in_band = W.partitionBy("key"), W.partitionBy("key", "band")
+    some = banded(entries.where(~often).withColumn("holders", F.count("*").over(in_key)).where("holders > 1"))
+    some = some.select("key", "band", "gid", "n", "at", F.min("gid").over(in_band).alias("pivot"), F.count("*").over(in_band).alias("holders")).where("holders > 1").drop("holders")
+    if hot:
+        most = banded(entries.where(often))
+        some = some.union(most.join(most.groupBy("key", "band").agg(F.min("gid").alias("pivot"), F.count("*").alias("holders")).where("holders > 1"), ["key", "band"]).select(some.columns))
+    return cut(some)
+
+
+_MEMBERS = "key", "band", "gid", "n", "at", "comp"
+
+
+def _plausible(x: str, y: str, percent: int) -> str:
+    """Whether sizes and places let the first key that sets x and y have in common be this list's."""
+    return (
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+        f" and {100 + percent} * least({x}.n - {x}.at, {y}.n - {y}.at) >= {percent} * ({x}.n + {y}.n)"
+    )
+
+
+def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of long lists (members, holders) from different components that sizes, places and parity bitmaps don't rule out.
+
+    A list is dealt in blocks by hash; each pair of blocks has a place of its own.
+    """
+    own = F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
+    placed = members.withColumn("blocks", F.ceil(F.col("holders") / SIDE).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select(*_MEMBERS, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(classes.select("gid", "parity"), "gid")
+    order = ("key", "band", "i", "j")
+
+    def compare(parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        gid, n, at, comp, own, i, j = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in (2, 3, 4, 5, 6, 7, 8))
+        maps = [x for p in parts for x in np.split(p.column(9).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(np.diff(p.column(9).offsets.to_numpy()))[:-1])]
+        # The halves of a longer bitmap are added modulo 2 until all are as long as the shortest.
+        words = min(map(len, maps))
+        bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), 0) for x in maps])
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        both = i[0] == j[0]
+        first, second = (np.arange(len(gid)),) * 2 if both else (np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]))
+        step = max(1, AT_ONCE // max(1, len(second)))
+        for start in range(0, len(first), step):
+            x, y = first[start : start + step, None], second[None, :]
+            may = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y]))
+            if both:
+                may &= x < y
+            p, q = np.nonzero(may)
+            p, q = first[start + p], second[q]
+            for k in range(0, len(p), AT_ONCE):
+                u, v = p[k : k + AT_ONCE], q[k : k + AT_ONCE]
+                total = n[u] + n[v]
+                near = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
+                yield gid[u[near]], gid[v[near]]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        name = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed():
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for whole in batches:
+            ids = np.stack([whole.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 7, 8)])
+            edges = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), whole.num_rows]
+            for lo, hi in pairwise(edges):
+                if lo == hi:
+                    continue
+                if held and name != tuple(ids[:, lo].tolist()):
+                    found += compare(held)
+                    held = []
+                    if sum(len(f[0]) for f in found) > AT_ONCE:
+                        yield passed()
+                        found = []
+                name = tuple(ids[:, lo].tolist())
+                held.append(whole.slice(lo, hi - lo))
+        if held:
+            found += compare(held)
+        if found:
+            yield passed()
+
+    return dealt.select(*_MEMBERS, "own", "i", "j", "parity").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _candidates(lists: DataFrame, classes: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: the close pairs of sets that share a list but no component; without components, of all sets that share a list."""
+    named = lists.drop("pivot").withColumn("comp", F.col("gid")) if comp is None else lists.drop("pivot").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
+    named = cut(named.select(*_MEMBERS))
+    mixed = named.groupBy("key", "band").agg(F.count("*").alias("holders"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "band", "holders")
+    members = cut(named.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders"))
+    short = members.where(F.col("holders") <= SHORT)
+    met = short.alias("x").join(short.alias("y"), F.expr(f"x.key = y.key and x.band = y.band and x.comp < y.comp and {_plausible('x', 'y', percent)}"))
+    met = met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
+    return _close(met, classes, percent).union(_in_blocks(members.where(F.col("holders") > SHORT), classes, percent)).distinct()
+
+
+def _drawn(lists: DataFrame, comp: DataFrame, draws: int) -> DataFrame:
+    """a, b: each set of a list of several components with ``draws`` sets of other components that are drawn by hash, the same for the whole list."""
+    named = cut(lists.select("key", "band", "gid").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid")))
+    one = [F.min(F.struct(F.xxhash64("gid", F.lit(i)).alias("h"), "gid", "comp")).alias(f"drawn{i}") for i in range(draws)]
+    drawn = named.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *one).where("lo != hi").select("key", "band", F.array(*(f"drawn{i}" for i in range(draws))).alias("drawn"))
+    pairs = named.join(drawn, ["key", "band"]).select("gid", "comp", F.explode("drawn").alias("o")).where("comp != o.comp")
+    return pairs.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
+
+
+def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """a, b: all links of distinct classes: the light pairs with a common key, and every close pair of a list, verified."""
+    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: reps.select("gid", F.explode(c).alias("key"))
+    light = cut(ordered(_paired(side("small"), side("large"), ["key"])))
+    heavy = cut(_candidates(lists, classes, None, percent).join(light, ["a", "b"], "left_anti"))
+    return light.union(_verify(heavy, classes, rows, percent, words))
+
+
 def _paired(left: DataFrame, right: DataFrame, on: list[str], size: int = 256) -> DataFrame:
     """x, y: every pair of a left and a right gid of equal keys; a key of many rows is dealt in blocks, each pair of blocks to a place of its own."""
     blocks = lambda side, n: side.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("int").alias(n))
@@ -375,16 +510,6 @@ def _paired(left: DataFrame, right: DataFrame, on: list[str], size: int = 256) -
     return x.join(y, [*on, "i", "j"]).where("x != y").select("x", "y")
 
 
-def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
-    """a, b: all links of distinct classes: the light pairs with a common key, and every close pair of a list, verified."""
-    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: reps.select("gid", F.explode(c).alias("key"))
-    light = cut(ordered(_paired(side("small"), side("large"), ["key"])))
-    members = lists.select("key", "band", "gid")
-    heavy = cut(_close(ordered(_paired(members, members, ["key", "band"])).join(light, ["a", "b"], "left_anti"), classes, percent))
-    return light.union(_verify(heavy, classes, rows, percent, words))
-
-
 def link_counts(links: DataFrame) -> DataFrame:
     """gid, n_links: how many other classes each class links to, from all links."""
     return links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("n_links"))
@@ -419,19 +544,6 @@ def roots(links: DataFrame) -> DataFrame:
             return up
 
 
-def _across(lists: DataFrame, comp: DataFrame, seeds: int) -> DataFrame:
-    """a, b: pairs of sets that share a list but no component: each set with ``seeds`` sets of its list drawn by hash, or all pairs for 0."""
-    in_band = W.partitionBy("key", "band")
-    named = lists.select("key", "band", "gid").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
-    drawn = [F.min(F.struct(F.xxhash64("gid", F.lit(i)).alias("h"), "gid", "comp")).over(in_band).alias(f"drawn{i}") for i in range(seeds)]
-    mixed = cut(named.select("*", (F.min("comp").over(in_band) != F.max("comp").over(in_band)).alias("mixed"), *drawn).where("mixed").drop("mixed"))
-    if seeds:
-        pairs = mixed.select("gid", "comp", F.explode(F.array(*(f"drawn{i}" for i in range(seeds)))).alias("o")).select("gid", "comp", F.col("o.gid").alias("gid2"), F.col("o.comp").alias("comp2")).where("comp != comp2")
-    else:
-        pairs = mixed.join(mixed.toDF("key", "band", "gid2", "comp2"), ["key", "band"]).where("comp < comp2")
-    return pairs.select(F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")).distinct()
-
-
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """gid, comp of all nodes of the components so far and of the further links (a, b)."""
     root = lambda x: F.coalesce(f"comp_{x}", x).alias(x)
@@ -456,27 +568,21 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     classes = cut(reps.select("gid", "n_shingles", "sig", "parity", "doc_id"))
     light = cut(_light_links(reps))
 
-    in_list = W.partitionBy("key")
-    listed = reps.select("gid", "band", F.explode("listed").alias("key")).withColumn("n", F.count("*").over(in_list)).where("n > 1")
-    # A set stands in the lists of its band and the next one, so that linked sets meet. The least set is the pivot.
-    in_band = W.partitionBy("key", "band")
-    lists = listed.select("key", "gid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    lists = cut(lists.select("key", "band", "gid", F.count("*").over(in_band).alias("n"), F.min("gid").over(in_band).alias("pivot")).where("n > 1").drop("n"))
+    lists = _lists(reps)
     stars = _close(lists.where("gid != pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), classes, percent)
     # One check a set comes first: it joins the most part of each group.
-    once = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _verify(once, classes, rows, percent, words)
-    comp = roots(links)
+    checked = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _verify(checked, classes, rows, percent, words)
+    comp = _joined(roots(links), light)
     links = links.union(light)
     # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
-    for seeds in (2, 0):
-        rest = cut(_close(_across(lists, comp, seeds).join(once, ["a", "b"], "left_anti"), classes, percent))
-        if rest.limit(1).count():
-            more = _verify(rest, classes, rows, percent, words)
+    for rest in (lambda: _close(_drawn(lists, comp, 2), classes, percent), lambda: _candidates(lists, classes, comp, percent)):
+        pairs = cut(rest().join(checked, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            more = _verify(pairs, classes, rows, percent, words)
             links = links.union(more)
             comp = _joined(comp, more)
-            once = once.union(rest)
-    comp = _joined(comp, light)
+            checked = checked.union(pairs)
     named_groups = groups.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_sig = named_groups.join(least, "comp").select("sig", "gid", "component_id")
