@@ -10,7 +10,7 @@ import pandas as pd
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, bool | np.bool_):
         return bool(v)
