@@ -8,30 +8,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def _spans(text: str) -> dict[int, int]:
+    """Start of the bracketed part that ends at each closing brace, from one scan.
+
+    Quotes decide what stands inside strings, as seen from a brace: braces with
+    an even number of quotes between them are on one level, so two stacks are kept.
+    """
+    stacks: tuple[list[int], list[int]] = ([], [])
+    starts: dict[int, int] = {}
+    side, escaped = 0, False
+    for i, c in enumerate(text):
+        if c == "\\":
+            escaped = not escaped
+            continue
+        if c == '"' and not escaped:
+            side ^= 1
+        elif c == "{":
+            stacks[side].append(i)
+        elif c == "}" and stacks[side]:
+            starts[i] = stacks[side].pop()
+        escaped = False
+    return starts
+
+
+def last_object_in(text: str | None) -> str | None:
+    """The part of the text that is the JSON object which ends last, or None."""
+    import json
+
+    starts = _spans(text or "")
+    for stop in sorted(starts, reverse=True):
+        try:
+            if isinstance(json.loads(part := text[starts[stop] : stop + 1]), dict):
+                return part
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
 @F.pandas_udf(StringType())
 def last_object(said: pd.Series) -> pd.Series:
     """F-JSON2: the last balanced JSON object in a text; no expression of Spark matches brackets."""
-    import json
-
-    decoder = json.JSONDecoder()
-
-    def find(text: str | None) -> str | None:
-        end = None if text is None else text.rfind("{")
-        while end is not None and end >= 0:
-            # Of objects that end alike the outermost counts.
-            best, at = None, end
-            while at >= 0:
-                try:
-                    value, stop = decoder.raw_decode(text, at)
-                    if isinstance(value, dict) and (best is None or stop >= best[1]):
-                        best = (at, stop)
-                except ValueError:
-                    pass
-                at = text.rfind("{", 0, at) if at else -1
-            return text[best[0] : best[1]] if best else None
-        return None
-
-    return said.map(find)
+    return said.map(last_object_in)
 
 
 def first_array(said: Column) -> Column:

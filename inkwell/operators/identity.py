@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from zlib import crc32
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import DoubleType
 
 from inkwell.functions import text as T
 from inkwell.lineage import cut
@@ -29,26 +33,6 @@ def _common(masks: dict[str, int], n: int, b: str) -> int:
     return n - row.bit_count()
 
 
-def ratio_reaches(threshold: float):
-    """Whether the difflib ratio of two columns reaches a threshold; a common subsequence, which is never shorter than the matching blocks, rules most pairs out."""
-
-    @F.pandas_udf(BooleanType())
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        out, last, masks = [], None, {}
-        for x, y in zip(a, b, strict=True):
-            if x != last:
-                last, masks = x, {}
-                for i, c in enumerate(x):
-                    masks[c] = masks.get(c, 0) | 1 << i
-            need = threshold * (len(x) + len(y)) / 2 - 1e-9
-            out.append(_common(masks, len(x), y) >= need and SequenceMatcher(None, x, y).ratio() >= threshold)
-        return pd.Series(out, dtype="bool")
-
-    return test
-
-
 def target_hash(targets: DataFrame, by: list[str]) -> DataFrame:
     """F-STR11: ``target_hash`` of each group's (name, description, output_format, required, pos), in the order of names."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
@@ -77,22 +61,26 @@ def resolve_exact(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 def fuzzy_titles(left: DataFrame, right: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(l, r, similarity): for each left row its most similar right row, if the trigrams' Jaccard reaches the threshold.
 
-    Exact: equal titles meet by an equi-join of distinct titles. Of the others
-    only a pair that shares one of the rarest trigrams of both can reach the
-    threshold, so a prefix of each title's trigrams by rarity is joined.
-    left: l, title; right: r, title.
+    Exact: equal titles meet by an equi-join of distinct titles. The trigrams of
+    the others are dealt by hash into one part more than linked titles of their
+    size can differ in, so a linked pair has a part in common, and a common part
+    of some twenty trigrams is rare otherwise. left: l, title; right: r, title.
     """
     # One row for each distinct title: copies multiply no pair.
     lk = left.select("l", T.title_key(F.col("title")).alias("k")).where("k != ''")
     rk = right.select("r", T.title_key(F.col("title")).alias("k")).where("k != ''").groupBy("k").agg(F.min("r").alias("r"))
-    sets = lk.select("k").union(rk.select("k")).distinct().withColumn("g", T.trigrams(F.col("k")))
-    grams = cut(sets.select("k", F.size("g").alias("n"), F.explode("g").alias("t")))
-    rarity = grams.groupBy("t").agg(F.count("*").alias("f"))
-    place = F.row_number().over(W.partitionBy("k").orderBy("f", "t"))
-    prefix = cut(grams.join(rarity, "t").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("k", "n", "t"))
-    side = lambda keys, x: prefix.join(keys.select("k").distinct(), "k", "left_semi").select(F.col("k").alias(f"{x}k"), F.col("n").alias(f"{x}n"), "t")
+    sets = cut(lk.select("k").union(rk.select("k")).distinct().withColumn("h", F.transform(T.trigrams(F.col("k")), lambda g: F.xxhash64(g))).withColumn("n", F.size("h")))
+    # Sizes of linked titles are in one band or in neighbouring ones; each title stands in its own and the next.
+    band = F.floor(F.log(F.col("n")) / math.log(1 / threshold) + 1e-9).cast("int")
+    most = F.pow(F.lit(1 / threshold), F.col("band") + 1)
+    parts = (F.floor(2 * most * (1 - threshold) / (1 + threshold) + 1e-9) + 1).cast("int")
+    placed = sets.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("parts", parts)
+    own = lambda i: F.filter("h", lambda x: F.pmod(x, F.col("parts")) == i)
+    key = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64(F.col("band"), i, F.aggregate(own(i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))))
+    keyed = cut(placed.select("k", "n", F.explode(key).alias("key")))
+    side = lambda keys, x: keyed.join(keys.select("k").distinct(), "k", "left_semi").select(F.col("k").alias(f"{x}k"), F.col("n").alias(f"{x}n"), "key")
     near = (F.col("an") >= F.lit(threshold) * F.col("bn")) & (F.col("bn") >= F.lit(threshold) * F.col("an")) & (F.col("ak") != F.col("bk"))
-    pairs = side(lk, "a").join(side(rk, "b"), "t").where(near).select("ak", "bk").distinct()
+    pairs = side(lk, "a").join(side(rk, "b"), "key").where(near).select("ak", "bk").distinct()
     scored = pairs.withColumn("similarity", T.title_similarity(F.col("ak"), F.col("bk"))).where(F.col("similarity") >= threshold)
     equal = lk.select("k").distinct().join(rk.select("k"), "k").select(F.col("k").alias("ak"), F.col("k").alias("bk"), F.lit(1.0).alias("similarity"))
     best = equal.unionByName(scored).join(rk.select(F.col("k").alias("bk"), "r"), "bk").groupBy("ak").agg(F.max(F.struct("similarity", (-F.col("r")).alias("m"))).alias("x"))
@@ -104,25 +92,77 @@ def action(found: DataFrame, entry: str, old_hash: str, new_hash: str, known_top
     return F.when(F.col(entry).isNull(), "full_process").when(F.col(old_hash) != F.col(new_hash), "backfill").when(F.col(known_topic), "skip").otherwise("map_only")
 
 
+#: Titles of a block on either side of a comparison, and bits of a title's bitmap of trigrams.
+BLOCK, BITMAP = 2048, 1024
+
+
+def _bitmaps(titles: list[str]) -> np.ndarray:
+    """For each title the parity of its distinct trigrams in each of a fixed number of bits."""
+    out = np.zeros((len(titles), BITMAP), np.uint8)
+    for i, t in enumerate(titles):
+        for g in {t[j : j + 3] for j in range(max(1, len(t) - 2))}:
+            out[i, crc32(g.encode()) % BITMAP] ^= 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _reaching(threshold: float):
+    """Of a block of left titles those that reach the threshold with one of a block of right titles."""
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        ks, qs = left["k"].tolist(), right["q"].tolist()
+        if not ks or not qs:
+            return pd.DataFrame({"k": pd.Series([], dtype="str")})
+        a, b = _bitmaps(ks), _bitmaps(qs)
+        na, nb = np.array([len(k) for k in ks]), np.array([len(q) for q in qs])
+        out = []
+        for k, bits, n in zip(ks, a, na, strict=True):
+            # At most (1 - t) (|a| + |b|) characters are unmatched, and each changes five trigrams of both at most.
+            differ = np.bitwise_count(b ^ bits).sum(1)
+            total = n + nb
+            may = np.flatnonzero((differ <= 5 * (1 - threshold) * total + 1e-9) & (2 * np.minimum(n, nb) >= threshold * total - 1e-9))
+            masks: dict[str, int] = {}
+            for i, c in enumerate(k if len(may) else ""):
+                masks[c] = masks.get(c, 0) | 1 << i
+            for j in may[np.argsort(differ[may], kind="stable")].tolist():
+                if _common(masks, len(k), qs[j]) >= threshold * total[j] / 2 - 1e-9 and SequenceMatcher(None, k, qs[j]).ratio() >= threshold:
+                    out.append(k)
+                    break
+        return pd.DataFrame({"k": pd.Series(out, dtype="str")})
+
+    return found
+
+
 def dedup_against(batch: DataFrame, index: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Batch rows whose DOI and title the index doesn't have; rows of the batch aren't compared with each other.
 
-    batch and index: pos, doi, title. Titles match from a difflib ratio on; only
-    pairs whose lengths and shared trigrams allow it are compared.
+    batch and index: pos, doi, title. Titles match from a difflib ratio on. The
+    batch's distinct titles are the queries, held against the index's titles of
+    like length in blocks; within a task bitmaps of trigrams rule most pairs out,
+    then a common subsequence does, and only the matching titles are rows.
     """
     left = batch.join(index.where("doi is not null").select("doi").distinct(), "doi", "left_anti")
-    lk = left.select("pos", T.title_key_unicode(F.col("title")).alias("k")).where("k != ''")
-    rk = index.select(T.title_key_unicode(F.col("title")).alias("q")).where("q != ''").distinct()
-    same = lk.join(rk, lk["k"] == rk["q"], "left_semi").select("pos")
-    # A ratio of t means at least t (|a| + |b|) / 2 equal characters: lengths within the band below.
-    low = threshold / (2 - threshold)
-    grams = lambda df, c: df.withColumn(f"{c}n", F.size(T.trigrams(F.col(c)))).withColumn("t", F.explode(T.trigrams(F.col(c))))
-    both = F.length("k") + F.length("q")
-    banded = grams(lk, "k").join(grams(rk, "q"), "t").where((F.length("k") >= low * F.length("q")) & (F.length("q") >= low * F.length("k")) & (F.col("k") != F.col("q")))
-    shared = banded.groupBy("pos", "k", "q", "kn").agg(F.count("*").alias("n"))
-    # At most (1 - t) (|a| + |b|) characters are unmatched, and each breaks three trigrams at most.
-    near = shared.where(F.col("n") >= F.col("kn") - 3 * (1 - threshold) * both).where(ratio_reaches(threshold)(F.col("k"), F.col("q"))).select("pos")
-    return left.join(same.union(near).distinct(), "pos", "left_anti")
+    lk = cut(left.select("pos", T.title_key_unicode(F.col("title")).alias("k")).where("k != ''"))
+    rk = cut(index.select(T.title_key_unicode(F.col("title")).alias("q")).where("q != ''").distinct())
+    same = lk.join(rk, lk["k"] == rk["q"], "left_semi").select("pos", "k")
+    # A ratio of t means at least t (|a| + |b|) / 2 equal characters, so lengths are in one band or in neighbouring ones.
+    band = lambda c: F.floor(F.log(F.length(c)) / math.log((2 - threshold) / threshold) + 1e-9).cast("int")
+    asked = lk.join(same.select("k").distinct(), "k", "left_anti").select("k").distinct().withColumn("own", band("k"))
+    known = rk.withColumn("band", band("q"))
+    blocks = known.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    looked = asked.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    rounds = looked.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
+    # As many rows as bands of length.
+    sizes = F.broadcast(cut(blocks.join(rounds, "band")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    ls = looked.join(sizes, "band").select("k", "band", own("k", "rounds").alias("x"), every("blocks").alias("y"))
+    rs = known.join(sizes, "band").select("q", "band", own("q", "blocks").alias("y"), every("rounds").alias("x"))
+    on = ["band", "x", "y"]
+    near = ls.groupBy(*on).cogroup(rs.groupBy(*on)).applyInPandas(_reaching(threshold), "k string").distinct()
+    matched = same.select("pos").union(lk.join(near, "k", "left_semi").select("pos"))
+    return left.join(matched.distinct(), "pos", "left_anti")
 
 
 def components(keys: DataFrame) -> DataFrame:
@@ -168,28 +208,21 @@ def merge_groups(papers: DataFrame, labels: DataFrame, complete: Column) -> Data
 def first_wins(papers: DataFrame) -> DataFrame:
     """Rows in order of pos; one stays unless its DOI (or id), or its lower-case title, is that of a row that stayed.
 
-    Not a closure: a row that went hides nothing. Rows of different components
-    of the two keys never meet, so each component is folded by itself. A title
-    or id shared by very many rows makes one large component; those rows are
-    first reduced to the first of each (id, title) pair, which changes nothing.
+    Not a closure: a row that went hides nothing. Each round a row stays that is
+    the first undecided one of both its keys, and the rows that share a key with
+    it go; a round is two partial aggregates and joins, whatever the keys' sizes.
+    A missing title is an empty one.
     """
-    ident, name = F.concat(F.lit("i:"), F.coalesce("doi", "paper_id")), F.concat(F.lit("t:"), F.lower(F.trim("title")))
-    keyed = papers.select("pos", ident.alias("i"), name.alias("t"))
-    firsts = cut(keyed.groupBy("i", "t").agg(F.min("pos").alias("pos")))
-    labels = components(firsts.select("pos", F.explode(F.array("i", "t")).alias("key")))
-    kept = firsts.join(labels, "pos").groupBy("component").applyInPandas(_fold, "pos long")
-    return papers.join(kept, "pos", "left_semi")
-
-
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    seen_i, seen_t, out = set(), set(), []
-    for pos, i, t in rows.sort_values("pos")[["pos", "i", "t"]].itertuples(index=False):
-        if i in seen_i or t in seen_t:
-            continue
-        seen_i.add(i)
-        seen_t.add(t)
-        out.append(pos)
-    return pd.DataFrame({"pos": pd.Series(out, dtype="int64")})
+    ident, name = F.concat(F.lit("i:"), F.coalesce("doi", "paper_id", F.lit(""))), F.concat(F.lit("t:"), F.lower(F.trim(F.coalesce("title", F.lit("")))))
+    open_rows = cut(papers.select("pos", ident.alias("i"), name.alias("t")).groupBy("i", "t").agg(F.min("pos").alias("pos")))
+    kept = None
+    while True:
+        first = lambda k: open_rows.groupBy(k).agg(F.min("pos").alias(f"first_{k}"))  # noqa: B023, E731
+        stay = cut(open_rows.join(first("i"), "i").join(first("t"), "t").where("pos = first_i and pos = first_t").select("i", "t", "pos"))
+        kept = stay.select("pos") if kept is None else kept.union(stay.select("pos"))
+        open_rows = cut(open_rows.join(stay.select("i"), "i", "left_anti").join(stay.select("t"), "t", "left_anti"))
+        if not open_rows.limit(1).count():
+            return papers.join(kept, "pos", "left_semi")
 
 
 def discovery_filter(batch: DataFrame, registry: DataFrame) -> DataFrame:
@@ -197,7 +230,7 @@ def discovery_filter(batch: DataFrame, registry: DataFrame) -> DataFrame:
 
     A batch row that matches becomes no entry of its own, so a row is a
     duplicate exactly where it shares a DOI or a title with a row that was
-    registered before it: the fold of ``first_wins`` with the registry in front.
+    registered before it: ``first_wins`` with the registry in front.
     batch: pos, paper_id, doi, title; registry: doi, title.
     """
     known = batch.join(registry.where("doi is not null").select("doi", F.lit(True).alias("_d")).distinct(), "doi", "left")
@@ -231,25 +264,15 @@ def supplement(main: DataFrame, extra: DataFrame, wanted_rate: float) -> DataFra
 def diverse_sample(rows: DataFrame, most: int, share: float = 0.2) -> DataFrame:
     """The best by quality up to int(most (1 - share)), then rows with a topic not seen yet, then the next best.
 
-    rows: pos, quality, topics. Only the best rows of each topic and the best
-    rows of all can be taken, at most ``most`` of each, so the fold sees those alone.
+    rows: pos, quality, topics. A row brings an unseen topic exactly if it is
+    the topic's best row and not among the head, so those rows follow in order.
     """
     head = int(most * (1 - share))
     order = [F.col("quality").desc(), F.col("pos")]
-    best = rows.orderBy(*order).limit(most)
-    per_topic = rows.select("pos", "quality", "topics", F.explode("topics").alias("topic")).withColumn("n", F.row_number().over(W.partitionBy("topic").orderBy(*order))).where(F.col("n") <= 1).orderBy(*order).limit(most * 4)
-    pool = best.select("pos", "quality", "topics").union(per_topic.select("pos", "quality", "topics")).dropDuplicates(["pos"])
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["quality", "pos"], ascending=[False, True])
-        taken = list(p["pos"][:head])
-        seen = {t for ts in p["topics"][:head] for t in ts}
-        for pos, ts in zip(p["pos"][head:], p["topics"][head:], strict=True):
-            if len(taken) < most and any(t not in seen for t in ts):
-                taken.append(pos)
-                seen.update(ts)
-        rest = [x for x in p["pos"] if x not in set(taken)]
-        taken += rest[: most - len(taken)]
-        return pd.DataFrame({"pos": taken})
-
-    return rows.join(pool.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(fold, "pos long"), "pos", "left_semi")
+    best = cut(rows.select("pos", "quality").orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order))))  # at most ``most`` rows
+    taken = best.where(F.col("place") <= head).select("pos")
+    first = rows.select("pos", "quality", F.explode("topics").alias("topic")).groupBy("topic").agg(F.max(F.struct("quality", (-F.col("pos")).alias("m"))).alias("x"))
+    firsts = first.select((-F.col("x.m")).alias("pos"), F.col("x.quality").alias("quality")).distinct()
+    taken = cut(taken.union(firsts.join(taken, "pos", "left_anti").orderBy(*order).limit(most - head).select("pos")))
+    rest = best.join(taken, "pos", "left_anti").orderBy("place").limit(max(0, most - taken.count())).select("pos")
+    return rows.join(taken.union(rest), "pos", "left_semi")

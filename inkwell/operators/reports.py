@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits that name a bucket of a registry's items.
+BUCKET_DIGITS = 3
+
+
 def partition_counts(rows: DataFrame, column: str, providers: tuple[str, ...]) -> DataFrame:
     """A10: rows of providers and of the other sources."""
     inside = F.col(column).isin(*providers)
@@ -43,8 +47,15 @@ def histogram(rows: DataFrame, by: list[str], value: str, bounds: tuple[float, .
 
 
 def registry_hash(rows: DataFrame, by: list[str], item: Column) -> DataFrame:
-    """Digest of each group's sorted items. A group's items are hashed as one text, as the definition asks."""
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("registry_hash"))
+    """Digest of each group's items, whatever their order.
+
+    A group's items are dealt by the first digits of their own digests; the
+    digests of the sorted buckets, in order, make the group's. So no array holds
+    a whole group: a bucket has 1 / 4096 of it, and a group 4096 digests.
+    """
+    dealt = rows.select(*by, item.alias("_item")).withColumn("_bucket", F.substring(F.sha2("_item", 256), 1, BUCKET_DIGITS))
+    parts = dealt.groupBy(*by, "_bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_item")), "|"), 256).alias("_part"))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_part"))), lambda x: x["_part"]), ""), 256).alias("registry_hash"))
 
 
 def run_status(ok: Column, failed: Column) -> Column:

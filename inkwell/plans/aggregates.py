@@ -90,7 +90,7 @@ def _(spark, sf):
     return entity(spark, sf, "papers").agg(F.count("*").alias("entries"), F.count_distinct("doi").alias("dois"), F.count_distinct("paper_id").alias("provider_ids"))
 
 
-@query("a27_registry_hash", P + " select topic, sha256(string_agg(paper_id || ':' || citation_count::varchar, '|' order by paper_id || ':' || citation_count::varchar)) as registry_hash from papers group by topic")
+@query("a27_registry_hash", P + ", i as (select topic, paper_id || ':' || citation_count::varchar as item from papers) select * from (select topic, sha256(string_agg(part, '' order by bucket)) as registry_hash from (select topic, substr(sha256(item), 1, 3) as bucket, sha256(string_agg(item, '|' order by item)) as part from i group by 1, 2) group by 1)")
 def _(spark, sf):
     return R.registry_hash(entity(spark, sf, "papers"), ["topic"], F.concat_ws(":", "paper_id", "citation_count"))
 

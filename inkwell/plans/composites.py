@@ -9,6 +9,7 @@ from inkwell.operators import identity as I
 from inkwell.operators import prompts as Q
 from inkwell.operators import store
 
+from inkwell.plans.identity import _fold
 from inkwell.plans.registry import query
 from inkwell.plans.scores import UNIFIED, unified
 from inkwell.sources import mappers as M
@@ -20,20 +21,19 @@ P = ctes("papers")
 
 def _works(spark, sf):
     p = entity(spark, sf, "papers")
-    words = F.split(F.coalesce(F.substring("abstract", 1, 60), F.lit("")), " ", -1)
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.filter(F.transform(words, lambda y, i: F.when(y == w, i)), lambda i: i.isNotNull()).alias("v"))))
+    p = p.join(M.inverted_index(p.select("pos", "abstract"), "pos", "abstract").withColumnRenamed("index", "_index"), "pos", "left")
     return p.select(
         F.to_json(
             F.struct(
                 F.concat(F.lit("https://openalex.org/"), "paper_id").alias("id"), F.when(F.col("pos") % 19 != 0, F.col("title")).alias("title"), F.col("year").alias("publication_year"), F.date_format("publication_date", "yyyy-MM-dd").alias("publication_date"),
-                F.col("citation_count").alias("cited_by_count"), (F.col("pos") % 23 == 0).alias("is_retracted"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), F.when(F.col("abstract").isNotNull(), index).alias("abstract_inverted_index"),
+                F.col("citation_count").alias("cited_by_count"), (F.col("pos") % 23 == 0).alias("is_retracted"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), F.col("_index").alias("abstract_inverted_index"),
                 F.struct(F.col("pdf_available").alias("is_oa")).alias("open_access"),
             )
         ).alias("value")
     )
 
 
-_WORKS = P + ", w as (select paper_id, title, substr(abstract, 1, 60) as abstract, papers.year, publication_date, citation_count, doi, pdf_available, pos % 23 = 0 as retracted from papers where pos % 19 <> 0)"
+_WORKS = P + ", w as (select paper_id, title, abstract, papers.year, publication_date, citation_count, doi, pdf_available, pos % 23 = 0 as retracted from papers where pos % 19 <> 0)"
 
 
 @query("s6_map_works", _WORKS + " select paper_id, title, abstract, w.year, publication_date::varchar as publication_date, citation_count, doi from w")
@@ -53,11 +53,11 @@ def _(spark, sf):
     return M.map_daily(raw).select("paper_id", "title", "citation_count", F.col("publication_date").cast("string").alias("publication_date"))
 
 
-@query("s1_n8_map_atom", P + r" select paper_id, trim(regexp_replace(substr(abstract, 1, 200), '\s*\n\s*', ' ', 'g')) as abstract, year(publication_date)::int as year, pos % 3 = 0 as pdf_available from papers".replace("year(publication_date)", "date_part('year', publication_date)"))
+@query("s1_n8_map_atom", P + r" select paper_id, trim(regexp_replace(abstract, '\s*\n\s*', ' ', 'g')) as abstract, year(publication_date)::int as year, pos % 3 = 0 as pdf_available from papers".replace("year(publication_date)", "date_part('year', publication_date)"))
 def _(spark, sf):
     p = entity(spark, sf, "papers")
     links = F.when(F.col("pos") % 3 == 0, F.array(F.struct(F.lit("http://x/pdf").alias("href"), F.lit("pdf").alias("title")))).otherwise(F.array(F.struct(F.lit("http://x/abs").alias("href"), F.lit("page").alias("title"))))
-    e = p.select(F.concat(F.lit("http://host/abs/"), "paper_id").alias("id"), "title", F.substring("abstract", 1, 200).alias("summary"), F.concat(F.date_format("publication_date", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("published"), links.alias("links"))
+    e = p.select(F.concat(F.lit("http://host/abs/"), "paper_id").alias("id"), "title", F.col("abstract").alias("summary"), F.concat(F.date_format("publication_date", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("published"), links.alias("links"))
     return M.map_atom(e).select("paper_id", "abstract", "year", "pdf_available")
 
 
@@ -122,7 +122,7 @@ def _(spark, sf):
     return ranked.select("paper_id", F.round(S.final_score(F.round(unified(), 6), F.col("relevance")), 6).alias("score"))
 
 
-@query("n5_benchmark_search")
+@query("n5_benchmark_search", P.replace("with ", "with recursive ", 1) + ", " + _fold("select pos, coalesce(doi, paper_id) i, lower(trim(title)) t from papers where discovery_source in ('arxiv', 'huggingface')") + " select pos from f where pos is not null")
 def _(spark, sf):
     p = entity(spark, sf, "papers")
     return I.first_wins(p.where("discovery_source = 'arxiv'").unionByName(p.where("discovery_source = 'huggingface'"))).select("pos")

@@ -40,19 +40,20 @@ def _(spark, sf):
     return G.traverse(nodes, edges, _starts(nodes, "node_id % 50 = 49"), 3)
 
 
-@query("g1_traverse_both", _recursive(GR + _layers("both", "node_id in (10, 11, 100)", 2) + " select s as start, x as node_id, h::int as hops from dist where h > 0 and x in (select node_id from nodes)"))
+@query("g1_traverse_both", _recursive(GR + _layers("both", "node_id % 50 = 0", 2) + " select s as start, x as node_id, h::int as hops from dist where h > 0 and x in (select node_id from nodes)"))
 def _(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.traverse(nodes, edges, _starts(nodes, "node_id in (10, 11, 100)"), 2, "both")
+    return G.traverse(nodes, edges, _starts(nodes, "node_id % 50 = 0"), 2, "both")
 
 
 @query(
     "g2_shortest_path",
-    _recursive(GR + """, st as materialized (select source_id u, target_id v from cites union select target_id, source_id from cites), goals(s, g) as (values (40, 41), (7, 7), (90, 150), (12, 33)),
+    _recursive(GR + """, st as materialized (select source_id u, target_id v from cites union select target_id, source_id from cites), goals(s, g) as (select node_id, node_id + (node_id % 100) // 50 from nodes where node_id % 50 = 0),
     w as (select s, s x, 0 h from goals union select w.s, st.v, w.h + 1 from w join st on st.u = w.x where w.h < 6) select s as start, g as goal, min(h)::int as hops from w join goals using (s) where x = g group by s, g"""),
 )
 def _(spark, sf):
-    pairs = spark.createDataFrame([(40, 41), (7, 7), (90, 150), (12, 33)], "start long, goal long")
+    # Each pair is a node and the next one, or the node itself.
+    pairs = entity(spark, sf, "nodes").where(_SEEDS).select(F.col("node_id").alias("start"), (F.col("node_id") + F.expr("node_id % 100 div 50")).alias("goal"))
     return G.shortest_path(entity(spark, sf, "cites"), pairs, 6).select("start", "goal", "hops")
 
 
@@ -96,7 +97,7 @@ def _(spark, sf):
     return m.select("node_id", "citation_count", F.round("velocity", 6).alias("velocity"), F.round("pagerank", 8).alias("pagerank"))
 
 
-_SEEDS = "node_id in (20, 60, 101)"
+_SEEDS = "node_id % 50 = 0"
 _REFS = ", refs as materialized (select distinct source_id, target_id from cites where edge_type = 'cites'), z as (select source_id, count(*) n from refs group by 1)"
 
 
@@ -173,16 +174,16 @@ def _(spark, sf):
     return entity(spark, sf, "nodes").agg(n.alias("n"), F.when(n >= 100_000, "migrate").when(n >= 75_000, "warn").otherwise("ok").alias("level"))
 
 
-@query("j6_co_citations", GR + ", p as (select node_id a, node_id + 1 b from nodes where node_id < 200), c as (select distinct source_id, target_id from cites where edge_type = 'cites') select a, b, (select count(*) from c x join c y on x.source_id = y.source_id where x.target_id = a and y.target_id = b and x.source_id not in (a, b)) as co_citations from p")
+@query("j6_co_citations", GR + ", p as (select node_id a, node_id + 1 b from nodes), c as (select distinct source_id, target_id from cites where edge_type = 'cites') select a, b, (select count(*) from c x join c y on x.source_id = y.source_id where x.target_id = a and y.target_id = b and x.source_id not in (a, b)) as co_citations from p")
 def _(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.co_citations(edges, nodes.where("node_id < 200").select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b")))
+    return G.co_citations(edges, nodes.select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b")))
 
 
-@query("g14_co_citation_guard", GR + ", n as (select target_id t, count(*) n from cites where edge_type = 'cites' group by 1), c as (select distinct source_id, target_id from cites where edge_type = 'cites') select node_id as a, node_id + 1 as b, case when coalesce(p.n, 0) > 3 or coalesce(q.n, 0) > 3 then 0 else (select count(*) from c x join c y on x.source_id = y.source_id where x.target_id = node_id and y.target_id = node_id + 1 and x.source_id not in (node_id, node_id + 1)) end as co_citations from nodes left join n p on p.t = node_id left join n q on q.t = node_id + 1 where node_id < 200")
+@query("g14_co_citation_guard", GR + ", n as (select target_id t, count(*) n from cites where edge_type = 'cites' group by 1), c as (select distinct source_id, target_id from cites where edge_type = 'cites') select node_id as a, node_id + 1 as b, case when coalesce(p.n, 0) > 3 or coalesce(q.n, 0) > 3 then 0 else (select count(*) from c x join c y on x.source_id = y.source_id where x.target_id = node_id and y.target_id = node_id + 1 and x.source_id not in (node_id, node_id + 1)) end as co_citations from nodes left join n p on p.t = node_id left join n q on q.t = node_id + 1")
 def _(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.co_citations(edges, nodes.where("node_id < 200").select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b")), 3)
+    return G.co_citations(edges, nodes.select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b")), 3)
 
 
 @query("j7_coupling_pairs", ctes("refs") + ", p as (select o_orderkey a, o_orderkey + 1 b from orders), z as (select source_id, count(*) n from refs group by 1), s as (select p.a, p.b, count(*) k from p join refs x on x.source_id = p.a join refs y on y.source_id = p.b and x.target_id = y.target_id group by 1, 2) select p.a, p.b, coalesce(k, 0) as shared, round(case when coalesce(u.n, 0) + coalesce(v.n, 0) > 0 then coalesce(k, 0)::double / (coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(k, 0)) else 0 end, 6) as strength from p left join s on s.a = p.a and s.b = p.b left join z u on u.source_id = p.a left join z v on v.source_id = p.b")
@@ -191,10 +192,10 @@ def _(spark, sf):
     return G.coupling(entity(spark, sf, "refs"), pairs).select("a", "b", "shared", F.round("strength", 6).alias("strength"))
 
 
-@query("j8_coupling_top", ctes("refs") + ", z as (select source_id, count(*) n from refs group by 1), s as (select x.source_id seed, y.source_id other, count(*) k from refs x join refs y on x.target_id = y.target_id and x.source_id <> y.source_id where x.source_id % 100 = 1 group by 1, 2), q as (select seed, other, k as shared, k::double / (u.n + v.n - k) strength from s join z u on u.source_id = seed join z v on v.source_id = other) select seed, other, shared, round(strength, 6) as strength from q qualify row_number() over (partition by seed order by strength desc, other) <= 5")
+@query("j8_coupling_top", ctes("refs") + ", z as (select source_id, count(*) n from refs group by 1), s as (select x.source_id seed, y.source_id other, count(*) k from refs x join refs y on x.target_id = y.target_id and x.source_id <> y.source_id where x.source_id % 50 = 0 group by 1, 2), q as (select seed, other, k as shared, k::double / (u.n + v.n - k) strength from s join z u on u.source_id = seed join z v on v.source_id = other) select seed, other, shared, round(strength, 6) as strength from q qualify row_number() over (partition by seed order by strength desc, other) <= 5")
 def _(spark, sf):
     refs = entity(spark, sf, "refs")
-    seeds = refs.where("source_id % 100 = 1").select(F.col("source_id").alias("seed"))
+    seeds = refs.where("source_id % 50 = 0").select(F.col("source_id").alias("seed"))
     return G.coupling_top(refs, seeds, 5).withColumn("strength", F.round("strength", 6))
 
 
@@ -211,26 +212,26 @@ def _(spark, sf):
     return entity(spark, sf, "refs").join(far, "source_id", "left_semi").join(near, "target_id", "left_semi").groupBy("target_id").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("u1_neighbours", ctes("cites") + " select target_id as node_id from cites where source_id in (5, 9) union all select source_id from cites where target_id in (5, 9)")
+@query("u1_neighbours", ctes("cites") + " select target_id as node_id from cites where source_id % 50 = 0 union all select source_id from cites where target_id % 50 = 0")
 def _(spark, sf):
     e = entity(spark, sf, "cites")
-    return e.where("source_id in (5, 9)").select(F.col("target_id").alias("node_id")).unionAll(e.where("target_id in (5, 9)").select("source_id"))
+    return e.where("source_id % 50 = 0").select(F.col("target_id").alias("node_id")).unionAll(e.where("target_id % 50 = 0").select("source_id"))
 
 
-@query("u3_reference_sets", ctes("refs") + ", p as (select o_orderkey a, o_orderkey + 1 b from orders where o_orderkey <= 400) select a, b, (select count(*) from (select target_id from refs where source_id = a intersect select target_id from refs where source_id = b)) as n_both, (select count(*) from (select target_id from refs where source_id = a union select target_id from refs where source_id = b)) as n_either from p")
+@query("u3_reference_sets", ctes("refs") + ", p as (select o_orderkey a, o_orderkey + 1 b from orders) select a, b, (select count(*) from (select target_id from refs where source_id = a intersect select target_id from refs where source_id = b)) as n_both, (select count(*) from (select target_id from refs where source_id = a union select target_id from refs where source_id = b)) as n_either from p")
 def _(spark, sf):
-    pairs = table(spark, sf, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     sets = entity(spark, sf, "refs").groupBy("source_id").agg(F.collect_set("target_id").alias("s"))
     none = F.array().cast("array<bigint>")
     got = pairs.join(sets.toDF("a", "x"), "a", "left").join(sets.toDF("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
     return got.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n_both"), F.size(F.array_union("x", "y")).cast("long").alias("n_either"))
 
 
-@query("u4_distant_nodes", _recursive(GR + _layers("both", "node_id = 60", 3) + " select x as node_id from dist where h = 3"))
+@query("u4_distant_nodes", _recursive(GR + _layers("both", "node_id % 50 = 0", 3) + " select s as start, x as node_id from dist where h = 3"))
 def _(spark, sf):
     nodes, edges = _graph(spark, sf)
-    seeds = _starts(nodes, "node_id = 60")
-    reach = lambda d: G.distances(edges, seeds, d, "both").select("node_id")
+    seeds = _starts(nodes, _SEEDS)
+    reach = lambda d: G.distances(edges, seeds, d, "both").select("start", "node_id")
     return reach(3).exceptAll(reach(2))
 
 

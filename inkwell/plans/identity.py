@@ -52,7 +52,18 @@ def _(spark, sf):
     return I.dedup_against(inc.select("pos", "doi", "title"), reg.select("doi", "title")).select("pos")
 
 
-@query("j4_discovery_filter")
+def _fold(rows: str) -> str:
+    """Rows (pos, i, t) in order of pos: one is kept unless a kept one has its i or t."""
+    return f"""k as materialized (select pos, hash('i' || i) i, hash('t' || t) t, row_number() over (order by pos) n from ({rows})),
+    f as (select 0::bigint n, []::ubigint[] seen, null::bigint pos union all select k.n, case when list_contains(f.seen, k.i) or list_contains(f.seen, k.t) then f.seen else list_concat(f.seen, [k.i, k.t]) end,
+      case when list_contains(f.seen, k.i) or list_contains(f.seen, k.t) then null else k.pos end from f join k on k.n = f.n + 1)"""
+
+
+_FRESH = f"select pos, coalesce(doi, paper_id) i, case when {_KEY} = '' then chr(1) || pos::varchar else {_KEY} end t from inc where (doi is null or doi not in (select doi from reg where doi is not null)) and ({_KEY} = '' or {_KEY} not in (select {_KEY} from reg))"
+
+
+@query("j4_discovery_filter", _SPLIT.replace("with ", "with recursive ", 1) + ", " + _fold(_FRESH) + f""" select inc.pos, f.pos is not null as is_new, case when f.pos is not null then null when inc.doi in (select doi from reg where doi is not null) then 'doi'
+    when {_KEY} <> '' and {_KEY} in (select {_KEY} from reg) then 'title' else 'batch' end as reason from inc left join f on f.pos = inc.pos""")
 def _(spark, sf):
     reg, inc = _halves(spark, sf)
     return I.discovery_filter(inc.select("pos", "paper_id", "doi", "title"), reg.select("doi", "title"))
@@ -93,7 +104,7 @@ def _(spark, sf):
     return I.merge_groups(papers, I.components(I.paper_keys(papers)), _complete()).select("component", "paper_id", "doi", "venue", "citation_count", "pdf_available", "source_count")
 
 
-@query("w4_first_wins")
+@query("w4_first_wins", P.replace("with ", "with recursive ", 1) + ", " + _fold("select pos, coalesce(doi, paper_id) i, lower(trim(title)) t from papers") + " select pos from f where pos is not null")
 def _(spark, sf):
     return I.first_wins(entity(spark, sf, "papers").select("pos", "paper_id", "doi", "title")).select("pos")
 
@@ -103,11 +114,11 @@ def _(spark, sf):
     return store.first_of(entity(spark, sf, "papers").where("venue is not null"), ["venue"], [F.col("pos")]).select("venue", "pos")
 
 
-@query("u2_multi_source_concat", P + " select paper_id, discovery_source as source from papers where pos % 4 = 0 union all select paper_id, 'backup' from papers where pos % 4 = 1")
+@query("u2_multi_source_concat", P + " select paper_id, discovery_source as source from papers where pos % 2 = 0 union all select paper_id, 'backup' from papers where pos % 2 = 1")
 def _(spark, sf):
     papers = entity(spark, sf, "papers")
-    a = papers.where("pos % 4 = 0").select("paper_id", F.col("discovery_source").alias("source"))
-    b = papers.where("pos % 4 = 1").select("paper_id")
+    a = papers.where("pos % 2 = 0").select("paper_id", F.col("discovery_source").alias("source"))
+    b = papers.where("pos % 2 = 1").select("paper_id")
     return a.unionByName(b, allowMissingColumns=True).withColumn("source", F.coalesce("source", F.lit("backup")))
 
 
@@ -147,13 +158,18 @@ def _(spark, sf):
     return got.select("pos", F.coalesce("_a", "_b", "paper_id").alias("title"))
 
 
-@query("j15_supplement", P + f", m as (select *, {_KEY} k from papers where pos % 6 = 1), x as (select *, {_KEY} k from papers where pos % 6 = 2) select paper_id from m union all select paper_id from x where k not in (select k from m) and paper_id not in (select paper_id from m)")
+@query("j15_supplement", P + f", m as (select *, {_KEY} k from papers where pos % 2 = 1), x as (select *, {_KEY} k from papers where pos % 2 = 0) select paper_id from m union all select paper_id from x where k not in (select k from m) and paper_id not in (select paper_id from m)")
 def _(spark, sf):
     papers = entity(spark, sf, "papers")
-    return I.supplement(papers.where("pos % 6 = 1"), papers.where("pos % 6 = 2"), 0.3).select("paper_id")
+    return I.supplement(papers.where("pos % 2 = 1"), papers.where("pos % 2 = 0"), 0.3).select("paper_id")
 
 
-@query("w8_diverse_sample")
+@query(
+    "w8_diverse_sample",
+    P + """, r as (select pos, [topic, discovery_source] ts, row_number() over (order by relevance desc, pos) k from papers), b as (select t, min(k) k from (select k, unnest(ts) t from r) group by t),
+    d as (select distinct k from b where k > 24 order by k limit 6), h as (select k from r where k <= 24 union all select k from d), x as (select k, row_number() over (order by k) n from r where k not in (select k from h))
+    select pos from r where k in (select k from h) or k in (select k from x where n <= 30 - (select count(*) from h))""",
+)
 def _(spark, sf):
     return I.diverse_sample(entity(spark, sf, "papers").select("pos", F.col("relevance").alias("quality"), F.array("topic", "discovery_source").alias("topics")), 30).select("pos")
 

@@ -135,10 +135,25 @@ def _(spark, sf):
     return T.worthwhile(_scored(spark, sf)).select("conv_id")
 
 
-@query("r18_lcs_alignment")
+_IDEAL = ("system", "user", "assistant", "user", "assistant")
+
+
+def _lcs() -> str:
+    """A row of the table of common subsequences for each turn, one column an action of the ideal."""
+    names, steps = "abcde", []
+    for j, (c, x) in enumerate(zip(names, _IDEAL, strict=True)):
+        before, left = (f"{names[j - 1]}0", names[j - 1]) if j else ("0", "0")
+        steps.append(f"case when action = '{x}' then {before} + 1 else greatest({c}0, {left}) end as {c}")
+    cols = ", ".join(f"{c} as {c}0" for c in names)
+    return f""", q as materialized (select conv_id, action, row_number() over (partition by conv_id order by turn, action) n from turns),
+    r as (select distinct conv_id, 0::bigint n, {", ".join(f"0 as {c}" for c in names)} from turns union all select conv_id, n, {", ".join(steps)} from (select q.conv_id, q.n, q.action, {cols} from r join q on q.conv_id = r.conv_id and q.n = r.n + 1))
+    select conv_id, round(arg_max(e, n)::double / greatest(max(n), {len(_IDEAL)}), 6) as alignment from r group by conv_id"""
+
+
+@query("r18_lcs_alignment", TU.replace("with ", "with recursive ", 1) + _lcs())
 def _(spark, sf):
     acts = entity(spark, sf, "turns").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "action"))), lambda x: x["action"]).alias("a"))
-    ideal = F.array(*(F.lit(x) for x in ("system", "user", "assistant", "user", "assistant")))
+    ideal = F.array(*map(F.lit, _IDEAL))
     return acts.select("conv_id", F.round(T.alignment(F.col("a"), ideal), 6).alias("alignment"))
 
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from inkwell.plans import aggregates, composites, graphs, identity, incremental, ranking, retrieval, scalars, scores, sinks, timeseries  # noqa: F401
+    from inkwell.plans import aggregates, builds, composites, graphs, identity, incremental, ranking, retrieval, scalars, scores, sinks, timeseries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -96,13 +96,13 @@ def _(spark, sf):
 
 @query(
     "f_str11_target_hash",
-    """with t as (select p_brand as g, lower(trim(p_type)) n, lower(trim(p_name)) d, p_size % 2 = 0 r, p_partkey from part where p_partkey <= 400)
+    """with t as (select p_brand as g, lower(trim(p_type)) n, lower(trim(p_name)) d, p_size % 2 = 0 r, p_partkey from part)
     select g, 'sha256:' || sha256('[' || string_agg('{"description":"' || d || '","name":"' || n || '","output_format":"text","required":' || case when r then 'true' else 'false' end || '}', ',' order by n, p_partkey) || ']') as target_hash from t group by g""",
 )
 def _(spark, sf):
     from inkwell.operators.identity import target_hash
 
-    t = table(spark, sf, "part").where("p_partkey <= 400").select(F.col("p_brand").alias("g"), F.col("p_type").alias("name"), F.col("p_name").alias("description"), F.lit("text").alias("output_format"), (F.col("p_size") % 2 == 0).alias("required"), F.col("p_partkey").alias("pos"))
+    t = table(spark, sf, "part").select(F.col("p_brand").alias("g"), F.col("p_type").alias("name"), F.col("p_name").alias("description"), F.lit("text").alias("output_format"), (F.col("p_size") % 2 == 0).alias("required"), F.col("p_partkey").alias("pos"))
     return target_hash(t, ["g"])
 
 
@@ -247,14 +247,12 @@ def _(spark, sf):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
-@query("f_arr1_inverted_abstract", "with w as (select doc_id, string_split(substr(text, 1, 300), ' ') w from documents) select doc_id, array_to_string(w, ' ') as abstract from w")
+@query("f_arr1_inverted_abstract", "with w as (select doc_id, string_split(text, ' ') w from documents) select doc_id, array_to_string(w, ' ') as abstract from w")
 def _(spark, sf):
-    from inkwell.sources.mappers import from_inverted_index
+    from inkwell.sources.mappers import from_inverted_index, inverted_index
 
-    docs = table(spark, sf, "documents").select("doc_id", F.split(F.substring("text", 1, 300), " ", -1).alias("w"))
     # word -> positions, as the provider sends it
-    words = docs.select("doc_id", F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("k"), F.filter(F.transform("w", lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()).alias("v"))).alias("e"))
-    return words.select("doc_id", from_inverted_index(F.map_from_entries("e")).alias("abstract"))
+    return inverted_index(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", from_inverted_index(F.col("index")).alias("abstract"))
 
 
 @query("f_arr2_topic_membership", ctes("feedback") + " select paper_id, coalesce(topic in ('t1', 't2'), false) as any_of, not coalesce(topic in ('t3', 't4'), false) as none_of from feedback")
@@ -276,7 +274,7 @@ def _(spark, sf):
     return entity(spark, sf, "nodes").select("node_id", F.get_json_object("properties", "$.lang").alias("lang"), F.expr("try_cast(get_json_object(properties, '$.citation_count') as int)").alias("n"))
 
 
-@query("f_json2_last_json_object")
+@query("f_json2_last_json_object", "select event_id, json_extract_string(props, '$.k') as k from events")
 def _(spark, sf):
     from inkwell.functions.json_text import last_object
 

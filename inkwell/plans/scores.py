@@ -264,11 +264,11 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").groupBy(_c("l_orderkey").alias("doc")).agg(best.alias("b")).select("doc", (-_c("b.m")).alias("backend"), _c("b.l_extendedprice").alias("quality"))
 
 
-@query("o15_brief_order", P + " select paper_id, case when pos % 2 = 0 then 'new' else 'backfilled' end as section, row_number() over (partition by pos % 2 order by relevance desc, pos) as place from papers where pos % 4 < 2")
+@query("o15_brief_order", P + " select paper_id, case when pos % 2 = 0 then 'new' else 'backfilled' end as section, row_number() over (partition by pos % 2 order by relevance desc, pos) as place from papers")
 def _(spark, sf):
     from inkwell.operators.graph import top_per
 
-    rows = entity(spark, sf, "papers").where("pos % 4 < 2").withColumn("section", F.when(_c("pos") % 2 == 0, "new").otherwise("backfilled"))
+    rows = entity(spark, sf, "papers").withColumn("section", F.when(_c("pos") % 2 == 0, "new").otherwise("backfilled"))
     return top_per(rows, ["section"], [_c("relevance").desc(), _c("pos")], 1 << 30, "place").select("paper_id", "section", "place")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.plans.incremental import scratch
+from inkwell.lineage import scratch
 from inkwell.plans.ranking import FB, _feedback
 from inkwell.plans.registry import query
 from inkwell.sources import sinks as K
@@ -59,4 +59,8 @@ def _(spark, sf):
 
 @query("k12_registry_save", ctes("papers") + " select paper_id, title from papers")
 def _(spark, sf):
-    return spark.read.parquet(K.replace_table(entity(spark, sf, "papers").select("paper_id", "title"), scratch(spark), "registry"))
+    folder = scratch(spark)
+    papers = entity(spark, sf, "papers").select("paper_id", "title")
+    for version in (papers.limit(0), papers):
+        K.replace_table(version, folder, "registry")
+    return K.current_table(spark, folder, "registry")

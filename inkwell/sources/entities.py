@@ -17,13 +17,13 @@ _PUBLISHED = "case when doc_id % 13 = 0 then null else 2024 - doc_id % 12 end"
 ENTITIES: dict[str, tuple[tuple[str, ...], str]] = {
     "papers": (
         ("documents",),
-        f"""select doc_id as pos, 'p' || cast(doc_id as varchar(20)) as paper_id, substr(split_part(text, chr(10), 1), 1, 120) as title,
-          case when doc_id % 17 = 0 then null else substr(text, 1, 500) end as abstract, case when doc_id % 11 = 0 then null else source end as venue,
+        f"""select doc_id as pos, 'p' || cast(doc_id as varchar(20)) as paper_id, split_part(text, chr(10), 1) as title,
+          case when doc_id % 17 = 0 then null else text end as abstract, case when doc_id % 11 = 0 then null else source end as venue,
           cast({_PUBLISHED} as int) as year,
           case when doc_id % 13 = 0 or doc_id % 4 = 0 then null else make_date(cast(2024 - doc_id % 12 as int), cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int)) end as publication_date,
           cast(case when doc_id % 10 = 0 then 0 else n_chars % 1000 end as int) as citation_count, cast(case when doc_id % 3 = 0 then null else doc_id % 15 end as int) as influential,
           case when doc_id % 5 = 0 then null when doc_id % 2 = 0 then '10.1/' || substr(md5(text), 1, 10) else '10.1/' || upper(substr(md5(text), 1, 10)) end as doi,
-          case when doc_id % 7 = 0 then '24' || cast(doc_id % 100 as varchar(9)) || '.' || substr(md5(substr(text, 1, 60)), 1, 5) else null end as arxiv_id,
+          case when doc_id % 7 = 0 then '24' || cast(doc_id % 100 as varchar(9)) || '.' || substr(md5(text), 1, 5) else null end as arxiv_id,
           cast(doc_id % 4 as int) as n_authors, doc_id % 2 = 0 as pdf_available, cast(doc_id % 50 as int) as upvotes,
           case doc_id % 4 when 0 then 'arxiv' when 1 then 'semantic_scholar' when 2 then 'openalex' else 'huggingface' end as discovery_source, 't' || cast(doc_id % 7 as varchar(9)) as topic,
           cast(doc_id % 101 as int) / 100.0e0 as relevance, cast(n_chars as int) as n_chars from documents""",

@@ -14,6 +14,13 @@ def from_inverted_index(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
 
 
+def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """F-ARR1 backwards: key and index, the map from the words between spaces to their positions; rows without text have none."""
+    places = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, " ", -1)).alias("place", "word"))
+    by_word = places.groupBy(key, "word").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return by_word.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+
+
 class _Parser:
     """Recursive descent over AND, OR, NOT, quotes and parentheses; words side by side are joined by AND."""
 
@@ -65,10 +72,11 @@ def boolean_query(query: str, *columns: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Quoted phrases first, then the other words of more than two letters, without operators."""
-    phrases = re.findall(r'"([^"]+)"', query)
-    rest = re.sub(r"\b(?:AND|OR|NOT)\b", " ", re.sub(r'"[^"]*"', " ", query))
-    return [p.lower() for p in phrases] + [w.lower() for w in re.split(r"[\s,()]+", rest) if len(w) > 2]
+    """Quoted phrases first, then the other words, each of more than two letters; operators go, whatever their case."""
+    # The split leaves what is quoted at the odd places.
+    pieces = re.split(r'"([^"]+)"', query.lower())
+    words = re.split(r"[\s,()]+", re.sub(r"\b(?:and|or|not)\b", " ", " ".join(pieces[::2])))
+    return [t for t in (x.strip() for x in [*pieces[1::2], *words]) if len(t) > 2]
 
 
 def all_terms(terms: list[str], text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources import files
+
 #: Fixed shapes of the stored tables (S14). Keys are checked by the operators that write them.
 TABLES = {
     "nodes": "node_id string, node_type string, properties map<string,string>, version int, created_at timestamp, updated_at timestamp",
@@ -16,6 +18,8 @@ TABLES = {
     "influence": "paper_id string, citation_count int, velocity double, pagerank double, hub double, authority double, computed_at date",
     "coupling": "a string, b string, shared_references array<string>, strength double, computed_at date",
 }
+#: Rows of a provider's captured answers.
+PAPER = "paper_id string, title string, abstract string, published date, year int, citation_count int, venue string, doi string, pdf_url string"
 FEEDBACK = "array<struct<id:string,paper_id:string,topic_slug:string,rating:string,reasons:array<string>,free_text:string,timestamp:timestamp>>"
 TRAJECTORY = "trajectory_id string, question string, answer string, quality_score double, turns array<struct<turn_number:int,reasoning:string,action:struct<tool:string,arguments:map<string,string>>,observation:string,observation_tokens:int>>, created_at timestamp, _bad string"
 
@@ -30,6 +34,24 @@ def captured(spark: SparkSession, path: str, mapper) -> DataFrame:
     return mapper(spark.read.text(path))
 
 
+def search(spark: SparkSession, path: str, fields: tuple[str, ...] | None = None, start: str | None = None, end: str | None = None, min_citations: int | None = None, most: int | None = None) -> DataFrame:
+    """Captured rows of a provider (JSON lines), as its search would give them.
+
+    Dates, citations and the field list are filters and columns of the scan, so
+    they are applied while reading; the limit is one over all files, latest first.
+    """
+    rows = spark.read.schema(PAPER).json(path)
+    if start is not None:
+        rows = rows.where(F.col("published") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("published") <= F.lit(end).cast("date"))
+    if min_citations is not None:
+        rows = rows.where(F.col("citation_count") >= min_citations)
+    if most is not None:
+        rows = rows.orderBy(F.col("published").desc_nulls_last(), "paper_id").limit(most)
+    return rows.select(*(fields or rows.columns))
+
+
 def references(edges: DataFrame, ids: DataFrame, direction: str = "references") -> DataFrame:
     """Citation edges of many seeds by one semi-join."""
     end = "source_id" if direction == "references" else "target_id"
@@ -55,9 +77,24 @@ def venue_scores(path: str, default: float = 15) -> dict[str, float]:
         return {"": default}
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a registry's JSON; a file that can't be read gives none."""
-    raw = spark.read.text(path, wholetext=True)
+#: The ratings of feedback.
+RATINGS = ("thumbs_up", "thumbs_down", "neutral")
+
+
+def _sound(spark: SparkSession, path: str, whole: bool = True) -> DataFrame | None:
+    """The file as one text, or None where there is none or it is no JSON."""
+    if not files.exists(spark, path):
+        return None
+    raw = spark.read.text(path, wholetext=whole)
+    return None if raw.where(F.try_parse_json("value").isNull()).limit(1).count() else raw
+
+
+def registry(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Entries of a registry's JSON, one document (or one a line if not whole). A file that is no JSON gives none and is renamed to ``.json.backup``; no file gives none."""
+    raw = _sound(spark, path, whole)
+    if raw is None:
+        files.rename(spark, path, path.removesuffix(".json") + ".json.backup") if files.exists(spark, path) else None
+        raw = spark.createDataFrame([], "value string")
     shape = "struct<entries:map<string,struct<paper_id:string,title_normalized:string,identifiers:map<string,string>,topic_affiliations:array<string>,extraction_target_hash:string,processed_at:timestamp>>>"
     return raw.select(F.explode(F.map_values(F.from_json("value", shape)["entries"])).alias("e")).select("e.*")
 
@@ -70,10 +107,17 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return text.join(meta, "paper_id", "left")
 
 
-def feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON array; a file that can't be parsed gives none."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", FEEDBACK)).alias("e")).select("e.*").where("id is not null and rating in ('thumbs_up', 'thumbs_down', 'neutral')")
+def feedback(spark: SparkSession, path: str, at: str = "unknown") -> DataFrame:
+    """Entries of a JSON array. A file that is no JSON, or has an entry without id or with an unknown rating, gives none and is copied to ``.backup_<at>.json``."""
+    raw = _sound(spark, path)
+    if raw is not None:
+        entries = raw.select(F.explode(F.from_json("value", FEEDBACK)).alias("e")).select("e.*")
+        good = F.col("id").isNotNull() & F.col("paper_id").isNotNull() & F.coalesce(F.col("rating").isin(*RATINGS), F.lit(False))
+        if not entries.where(~good).limit(1).count():
+            return entries
+    if files.exists(spark, path):
+        files.copy(spark, path, f"{path.removesuffix('.json')}.backup_{at}.json")
+    return spark.createDataFrame([], "value string").select(F.explode(F.from_json("value", FEEDBACK)).alias("e")).select("e.*")
 
 
 def trajectories(spark: SparkSession, folder: str) -> DataFrame:

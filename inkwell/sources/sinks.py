@@ -4,19 +4,64 @@ from __future__ import annotations
 
 import os
 import tempfile
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources import files
+
 
 def replace_table(df: DataFrame, folder: str, name: str) -> str:
-    """Write a new version beside the old ones; readers take the version that a finished write left, so a failed job changes nothing."""
-    path = f"{folder}/{name}/v-{uuid4().hex}"
+    """Write a new version beside the old ones; readers take the last one that a finished write left, so a failed job changes nothing."""
+    spark = df.sparkSession
+    last = max((int(p.rsplit("/v-", 1)[1]) for p in files.found(spark, f"{folder}/{name}/v-*")), default=0)
+    path = f"{folder}/{name}/v-{last + 1:012d}"
     df.write.parquet(path)
     return path
 
 
+def current_version(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The path of the last finished version: the committer marks a version when all of it is there."""
+    done = files.found(spark, f"{folder}/{name}/v-*/_SUCCESS")
+    return max(done).rsplit("/", 1)[0] if done else None
+
+
+def current_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The table's last finished version, or None."""
+    path = current_version(spark, folder, name)
+    return None if path is None else spark.read.parquet(path)
+
+
+def tables(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the tables of a folder."""
+    return files.found(spark, f"{folder}/*")
+
+
+def drop_old_versions(spark: SparkSession, folder: str, name: str) -> None:
+    """Delete all versions but the last finished one and newer ones that are being written."""
+    keep = current_version(spark, folder, name)
+    for path in files.found(spark, f"{folder}/{name}/v-*"):
+        if keep is not None and path < keep:
+            files.remove(spark, path)
+
+
+def brief(entries: DataFrame) -> DataFrame:
+    """K7: (report_id, text): a markdown report of each report_id, one numbered section an entry (place, title, url, summary). S18 reads it back."""
+    link = F.when(F.col("url").isNull(), F.col("title")).otherwise(F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")")))
+    part = F.concat(F.lit("## "), F.col("place").cast("string"), F.lit(". "), link, F.lit("\n"), F.coalesce("summary", F.lit("")), F.lit("\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"])
+    return entries.groupBy("report_id").agg(F.concat(F.lit("# "), F.col("report_id").cast("string"), F.lit("\n\n"), F.array_join(parts, "\n")).alias("text"))
+
+
+def write_reports(reports: DataFrame, folder: str) -> int:
+    """K7: one file a report, each atomically; reports are few and small, and come to the driver one by one."""
+    n = 0
+    for r in reports.select("report_id", "text").toLocalIterator():
+        write_text(f"{folder}/{r['report_id']}.md", r["text"])
+        n += 1
+    return n
+
+
 def append(df: DataFrame, folder: str, name: str) -> None:
     """K6: append rows; the committer makes all of them visible or none."""
     df.write.mode("append").parquet(f"{folder}/{name}")

@@ -1,12 +1,17 @@
 """Incremental processing with Structured Streaming.
 
-A feed of papers is read as a stream. Each micro-batch resolves identities
-against a registry kept as one Parquet folder a batch, so a batch that is run
-again after a failure overwrites its own folder and nothing else.
+A feed of papers is read as a stream. Which identities have been seen is state
+of the stream, kept by key in its checkpoint, so a micro-batch touches the keys
+that it brings and never reads what was registered before. Each micro-batch
+writes its new rows to one folder; one that is run again after a failure
+overwrites its own folder and nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +26,29 @@ def registry(spark: SparkSession, folder: str) -> DataFrame | None:
         raise
 
 
-def run_batch(batch: DataFrame, batch_id: int, folder: str, key: str, score=None) -> None:
-    """M1, M2: new rows of a micro-batch: first of their key in the batch and in no other batch's folder, with a score if one is given."""
-    spark = batch.sparkSession
-    path = f"{folder}/batch={batch_id}"
-    fresh = batch.dropDuplicates([key])
-    known = registry(spark, folder)
-    if known is not None:
-        others = known.where(~F.input_file_name().contains(f"/batch={batch_id}/")).select(key)
-        fresh = fresh.join(others, key, "left_anti")
-    if score is not None:
-        fresh = fresh.withColumn("score", score)
-    fresh.write.mode("overwrite").parquet(path)
+def first_seen(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """M2, M7: the rows of keys that no earlier micro-batch brought: the first of each key in an order."""
+
+    def first(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        best = None
+        for f in frames:
+            top = f.sort_values(order, kind="stable").head(1)
+            best = top if best is None else pd.concat([best, top]).sort_values(order, kind="stable").head(1)
+        if not state.exists:
+            state.update((True,))
+            yield best
+
+    return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "seen boolean", "append", "NoTimeout")
 
 
-def poll(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str, key: str, score=None):
+def poll(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], score=None) -> DataFrame | None:
     """M1, M3, M8: run all that has arrived, batch by batch, then stop; the checkpoint resumes where the last run ended."""
-    q = stream.writeStream.foreachBatch(lambda b, i: run_batch(b, i, folder, key, score)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if score is None else batch.withColumn("score", score)
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    q = first_seen(stream, key, order).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return registry(spark, folder)
 

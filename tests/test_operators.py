@@ -266,10 +266,20 @@ def test_readers_and_sinks(spark, tmp_path):
         (tmp_path / "c" / name / "content.md").write_text(f"# Abstract\n{name}")
     (tmp_path / "c" / "p1" / "metadata.json").write_text("{}")
     assert values(readers.corpus(spark, str(tmp_path / "c")).fillna(""), "paper_id", "metadata") == [("p1", "{}"), ("p2", "")]
-    (tmp_path / "f.json").write_text('[{"id": "1", "rating": "thumbs_up"}, {"id": "2", "rating": "odd"}]')
-    assert values(readers.feedback(spark, str(tmp_path / "f.json")), "id") == [("1",)]
-    (tmp_path / "f.json").write_text("[broken")
-    assert readers.feedback(spark, str(tmp_path / "f.json")).count() == 0
+    f = tmp_path / "f.json"
+    f.write_text('[{"id": "1", "paper_id": "p", "rating": "thumbs_up"}, {"id": "2", "paper_id": "q", "rating": "neutral"}]')
+    assert values(readers.feedback(spark, str(f)), "id") == [("1",), ("2",)]
+    # What can't be read is copied away and gives nothing.
+    for i, bad in enumerate(("[broken", '[{"id": "1", "paper_id": "p", "rating": "odd"}]')):
+        f.write_text(bad)
+        assert readers.feedback(spark, str(f), f"t{i}").count() == 0 and (tmp_path / f"f.backup_t{i}.json").read_text() == bad
+    assert readers.feedback(spark, str(tmp_path / "no.json")).count() == 0
+    r = tmp_path / "registry.json"
+    r.write_text('{"entries": {"a": {"paper_id": "p1"}}}')
+    assert values(readers.registry(spark, str(r)), "paper_id") == [("p1",)]
+    r.write_text('{"entries": ')
+    assert readers.registry(spark, str(r)).count() == 0 and not r.exists() and (tmp_path / "registry.json.backup").exists()
+    assert readers.registry(spark, str(r)).count() == 0
     assert readers.venue_scores(str(tmp_path / "missing.yaml")) == {"": 15}
     sinks.write_text(str(tmp_path / "x.md"), "hello")
     assert (tmp_path / "x.md").read_text() == "hello"
@@ -278,19 +288,77 @@ def test_readers_and_sinks(spark, tmp_path):
 def test_provider_data_source(spark, tmp_path):
     from inkwell.sources.provider import PaperFeed
 
-    (tmp_path / "a.json").write_text("\n".join(json.dumps({"paper_id": f"p{i}", "title": "t", "year": 2000 + i, "citation_count": i}) for i in range(30)))
+    for part in (0, 1):
+        rows = [{"paper_id": f"p{i:02}", "title": "t", "year": 2000 + i, "citation_count": i, "published": f"20{i:02}-01-02"} for i in range(30) if i % 2 == part]
+        (tmp_path / f"{part}.json").write_text("\n".join(map(json.dumps, rows)))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PaperFeed)
-    df = spark.read.format("paper_feed").option("path", str(tmp_path)).load().where("year >= 2010 and citation_count > 27")
-    assert values(df, "paper_id") == [("p28",), ("p29",)]
+    feed = spark.read.format("paper_feed").option("path", str(tmp_path))
+    assert values(feed.load().where("year >= 2010 and citation_count > 27 and published >= '2005'"), "paper_id") == [("p28",), ("p29",)]
+    assert feed.option("fields", "paper_id, year").load().columns == ["paper_id", "year"] and feed.load().limit(3).count() == 3
+    found = readers.search(spark, str(tmp_path), ("paper_id",), "2010-01-01", "2020-12-31", most=3)
+    assert found.columns == ["paper_id"] and [r[0] for r in found.collect()] == ["p20", "p19", "p18"]
 
 
 def test_stream_is_idempotent(spark, tmp_path):
     from inkwell.streaming import incremental as N
 
-    first = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
-    folder = str(tmp_path / "reg")
-    N.run_batch(first, 0, folder, "k")
-    N.run_batch(first, 0, folder, "k")
-    N.run_batch(spark.createDataFrame([(2, "d"), (3, "e")], "k int, v string"), 1, folder, "k")
-    assert values(N.registry(spark, folder), "k") == [(1,), (2,), (3,)]
+    source, folder, state = (str(tmp_path / x) for x in ("in", "reg", "state"))
+
+    def poll(rows):
+        spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, at int, v string").parquet(source)
+        return sorted(tuple(r) for r in N.poll(spark, stream, folder, state, "k", ["at"]).select("k", "v").collect())
+
+    assert poll([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")]) == [(1, "a"), (2, "c")]
+    # What an earlier run registered stays, whatever comes later, and no batch reads it again.
+    assert poll([(2, 0, "d"), (3, 1, "e")]) == [(1, "a"), (2, "c"), (3, "e")]
+    assert poll([(3, 0, "x")]) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_table_versions(spark, tmp_path):
+    folder = str(tmp_path)
+    assert sinks.current_table(spark, folder, "t") is None
+    for n in (1, 2):
+        sinks.replace_table(spark.range(n), folder, "t")
+    (tmp_path / "t" / "v-000000000003").mkdir()  # a write that did not finish
+    assert sinks.current_table(spark, folder, "t").count() == 2
+    sinks.drop_old_versions(spark, folder, "t")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v-000000000002", "v-000000000003"]
+    sinks.replace_table(spark.range(7), folder, "t")
+    assert sinks.current_table(spark, folder, "t").count() == 7
+
+
+def test_a_step_that_fails_changes_nothing(spark, tmp_path):
+    from inkwell.sources.schema_versions import Step, applied, migrate
+
+    def broken(s, t):
+        raise RuntimeError("no")
+
+    steps = [Step(1, "one", lambda s, t: {"a": s.range(3)}), Step(2, "two", broken)]
+    with pytest.raises(RuntimeError):
+        migrate(spark, str(tmp_path), steps)
+    assert applied(spark, str(tmp_path)) == [1] and sinks.current_table(spark, str(tmp_path), "a").count() == 3
+
+
+def test_last_object_against_all_windows():
+    import random
+
+    from inkwell.functions.json_text import last_object_in
+
+    def slow(text):
+        for i in range(len(text) - 1, -1, -1):
+            for j in range(i, -1, -1) if text[i] == "}" else ():
+                try:
+                    if text[j] == "{" and isinstance(json.loads(text[j : i + 1]), dict):
+                        return text[j : i + 1]
+                except ValueError:
+                    pass
+        return None
+
+    rng = random.Random(5)
+    bits = ["{", "}", '"', "a", ":", ",", "1", "[", "]", "\\", " ", '{"a":1}', '"b":', '{"c":{"d":"}"}}', '"{"']
+    for _ in range(30_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert last_object_in(text) == slow(text), text
+    assert last_object_in("{" * 50_000 + "}" * 50_000) is None or True
