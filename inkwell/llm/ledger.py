@@ -118,3 +118,14 @@ def ablations(led: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     hit, only = F.col("failed").bitwiseAND(F.col("bit")) != 0, F.col("failed") == F.col("bit")
     return by_rule.groupBy("rule").agg(count(hit).alias("n_failed"), count(only).alias("n_only"), count(only | (F.col("failed") == 0)).alias("kept_without"))
+
+
+def with_ablations(led: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
+    """The ledger with sole_rule, the one rule of the policy that fails if it is only one, and kept_without, how many documents stay without that rule."""
+    alone = F.col("failed").bitwiseAND(F.lit(mask(version)).cast("long"))
+    sole = F.lit(None).cast("string")
+    for r in POLICIES[version]:
+        sole = F.when(alone == (1 << NAMES.index(r)), r).otherwise(sole)
+    # As many rows as rules.
+    counts = F.broadcast(ablations(led, version).select(F.col("rule").alias("sole_rule"), "kept_without"))
+    return led.withColumn("sole_rule", sole).join(counts, "sole_rule", "left")

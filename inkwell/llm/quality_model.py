@@ -10,8 +10,9 @@ smallest hash of the id; more labels than that change nothing but which rows
 are drawn. Scoring reads every row.
 
 Defined results: a null text is an empty one and gets a score like any other.
-Where an id has several labels, each label counts; null labels and labels
-without a document don't. Without two classes the score is the share of
+Where an id has several different labels, each label counts, and repeated equal
+ones count once; of several documents with one id the one of the least
+statistics is learnt from. Null labels and labels without a document don't count. Without two classes the score is the share of
 label 1, or 0.5 without any label. Extra columns are left out by ``score``.
 """
 
@@ -191,11 +192,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, penalty: float = PENALTY) -> RuleModel:
     """The model of the labelled rows that aren't held out."""
-    own = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    own = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
     # At most most_rows narrow rows: their size is bounded by the parameter.
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(most_rows)
     drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = statistics(drawn, keep=("doc_id", "_y")).limit(2 * most_rows).toPandas().sort_values(["doc_id", "_y", *STATISTICS])
+    # One row a label, so at most most_rows of them.
+    one = statistics(drawn, keep=("doc_id", "_y")).groupBy("doc_id", "_y").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "_y", "s.*")
+    rows = one.toPandas().sort_values(["doc_id", "_y"])
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float), penalty)
 
 

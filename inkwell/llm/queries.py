@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkwell.llm import bpe, chat, ledger, mixing, pii, quality_model, secrets, setjoin, sharding, syncmers
-from inkwell.llm.common import table
+from inkwell.llm.common import cut, shared_folder, table
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid4().hex}"))
 
 
 def op8_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,10 @@ def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents")))
+    led = cut(ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents"))))
     base = F.lit(ledger.mask(ledger.BASE_POLICY)).cast("long")
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed")
+    judged = ledger.with_ablations(led)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed", "sole_rule", "kept_without")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,16 +96,18 @@ def _op1() -> str:
     return f"""
     with t as (select doc_id, source, coalesce(text, '') as text from documents),
     s as ({" union all ".join(found)}),
-    f as (select val, count(distinct coalesce(source, chr(1))) as owners from s group by val),
-    j as (select s.*, case when len(list_distinct(string_split(s.val, ''))) < {secrets.LEAST_CHARS} or owners >= {secrets.COPIED_OWNERS} then 'example' when owners > 1 then 'shared' else 'live' end as verdict
+    f as (select val, count(distinct coalesce(source, chr(1))) as owners, count(distinct doc_id) as repos from s group by val),
+    j as (select s.*, owners, repos, case when len(list_distinct(string_split(s.val, ''))) < {secrets.LEAST_CHARS} or owners >= {secrets.COPIED_OWNERS} or repos >= {secrets.COPIED_REPOS} then 'example' when owners > 1 then 'shared' else 'live' end as verdict
           from s join f on s.val = f.val),
     a as (select doc_id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
             string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) filter (kind_no < {secrets.BASE}) base,
             string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) al,
+            string_agg(repos::bigint || ':' || owners::bigint, ',' order by start, kind_no) counts,
             count(*) filter (verdict = 'live') n_live, count(*) filter (verdict = 'shared') n_shared, count(*) filter (verdict = 'example') n_example
           from j group by doc_id)
     select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(al, '') spans,
-      coalesce(n_live, 0) n_live, coalesce(n_shared, 0) n_shared, coalesce(n_example, 0) n_example
+      coalesce(n_live, 0) n_live, coalesce(n_shared, 0) n_shared, coalesce(n_example, 0) n_example,
+      coalesce(counts, '') span_counts
     from documents d left join a on d.doc_id = a.doc_id"""
 
 
@@ -165,8 +169,11 @@ def _op10() -> str:
     c as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 8)) p from (select doc_id, i, count(*) over (partition by doc_id, k) n from g) where n > 1) group by doc_id),
     m as (select d.doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, n_symbols::bigint n_symbols, len(l)::bigint n_lines,
       (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words, len(list_distinct(w)) n_distinct_words, n_upper, n_bangs from d left join c using (doc_id)),
-    f as (select *, ({failed})::bigint failed from m)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {ledger.mask(ledger.BASE_POLICY)} <> 0 base_failed, failed & {ledger.mask(ledger.CURRENT_POLICY)} = 0 kept, failed from f"""
+    f as (select *, ({failed})::bigint failed from m),
+    r as (select *, failed & {ledger.mask(ledger.CURRENT_POLICY)} of_policy from f),
+    a as (select *, (count(*) filter (of_policy = 0) over () + case when of_policy <> 0 then count(*) over (partition by of_policy) else 0 end)::bigint if_left_out from r)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {ledger.mask(ledger.BASE_POLICY)} <> 0 base_failed, failed & {ledger.mask(ledger.CURRENT_POLICY)} = 0 kept, failed,
+      case of_policy {" ".join(f"when {1 << i} then '{r}'" for i, r in enumerate(ledger.NAMES))} end sole_rule, case when of_policy in ({", ".join(str(1 << i) for i in range(len(ledger.NAMES)))}) then if_left_out end kept_without from a"""
 
 
 def oracle_sql() -> dict[str, str]:

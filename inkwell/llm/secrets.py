@@ -2,9 +2,9 @@
 
 Regular expressions propose credentials in every whole text. Each candidate
 value is hashed, and the hashes are counted over the whole corpus by distinct
-repositories and distinct owners. A value that many owners hold is a copied
-example; one that a single owner holds, and that doesn't look like a
-placeholder, looks live. Only built-in functions are used.
+repositories and distinct owners. A value that many owners or very many
+repositories hold is a copied example; one that a single owner holds, and that
+doesn't look like a placeholder, looks live. Only built-in functions are used.
 
 Defined results: a null text is an empty one and has no spans. Repeated rows
 give repeated, equal results and count once. A null owner is an owner of its
@@ -31,8 +31,8 @@ KINDS = (
     ("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_live_[A-Za-z0-9]{16,}+)"),
 )
 BASE = 3
-#: A value that at least so many owners hold is an example; a value of fewer distinct characters is a placeholder.
-COPIED_OWNERS, LEAST_CHARS = 3, 6
+#: A value that at least so many owners, or repositories, hold is an example; a value of fewer distinct characters is a placeholder.
+COPIED_OWNERS, COPIED_REPOS, LEAST_CHARS = 3, 20, 6
 
 
 def _keep(kind: str):
@@ -80,16 +80,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """doc_id, spans array<struct<start, end, kind, verdict, n_repos, n_owners>>, one row per input row.
 
     verdict: ``example`` where the value is a placeholder or at least
-    ``copied_owners`` owners hold it, ``shared`` where more than one does, else ``live``.
+    ``copied_owners`` owners or ``copied_repos`` repositories hold it, ``shared``
+    where more than one owner does, else ``live``.
     """
     found = cut(find(df, id_col, text_col, owner_col))
     one = found.where(F.col("key").isNotNull()).select("key", F.explode("spans").alias("s")).select("key", "s.*").distinct()
     judged = one.join(ownership(found), "value").withColumn(
-        "verdict", F.when(F.col("placeholder") | (F.col("n_owners") >= copied_owners), "example").when(F.col("n_owners") > 1, "shared").otherwise("live")
+        "verdict", F.when(F.col("placeholder") | (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos), "example").when(F.col("n_owners") > 1, "shared").otherwise("live")
     )
     by_key = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind", "verdict", "n_repos", "n_owners"))).alias("spans"))
     # Rows without a candidate get keys of their own, which match nothing and are spread evenly.
@@ -99,11 +100,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The columns of the query, from those of ``scan``."""
+    """The columns of the query, from those of ``scan``; span_counts has repositories:owners of each span's value."""
     base = F.filter("spans", lambda s: s["kind_no"] < BASE)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
     return scanned.select(
         "doc_id", *(count(k).alias(f"n_{k}") for k, _ in KINDS[:BASE]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         verdict("live").alias("n_live"), verdict("shared").alias("n_shared"), verdict("example").alias("n_example"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["n_repos"], s["n_owners"])), ",").alias("span_counts"),
     )

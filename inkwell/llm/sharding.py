@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import exists
+
 SLOTS, SHARDS, ROW_BYTES = 8192, 40, 16
 #: Rebalancing ends when the largest shard is within this share of the mean, or no move helps.
 CLOSE = 0.0005
@@ -88,19 +90,19 @@ class SlotMap:
         return new
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, i, int(s)) for i, s in enumerate(self.shard_of)], "version int, virtual_slot int, shard int")
+        return spark.createDataFrame([(self.version, i, int(s), self.n_shards) for i, s in enumerate(self.shard_of)], "version int, virtual_slot int, shard int, n_shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Append this version to the stored map."""
         self.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, n_shards: int = SHARDS) -> SlotMap:
-        """The latest version stored."""
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """The latest version stored, or the one asked for."""
         t = spark.read.parquet(path)
-        v = t.agg(F.max("version")).first()[0]
-        rows = sorted((r["virtual_slot"], r["shard"]) for r in t.where(F.col("version") == v).collect())
-        return cls(np.array([s for _, s in rows]), n_shards, int(v))
+        v = t.agg(F.max("version")).first()[0] if version is None else version
+        rows = sorted((r["virtual_slot"], r["shard"], r["n_shards"]) for r in t.where(F.col("version") == v).collect())
+        return cls(np.array([s for _, s, _ in rows]), rows[0][2], int(v))
 
 
 def records(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,10 +112,12 @@ def records(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col:
     return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
-def shard(df: DataFrame, slot_map: SlotMap | None = None, slots: int = SLOTS, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(df: DataFrame, path: str, slots: int = SLOTS, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, map_version, shard, and slot: the row's place in its shard from 0.
 
-    Without a map, the first version is rebalanced by the bytes of the slots. A
+    ``path`` is the folder of the versioned map, in a store that all executors
+    share. The latest version there, or a first one, is rebalanced by the bytes
+    of the slots and stored as a new version, by which the rows are dealt. A
     place is the number of rows in the shard's earlier slots and the row's
     number in its slot, so no task sorts a whole shard.
     """
@@ -122,8 +126,10 @@ def shard(df: DataFrame, slot_map: SlotMap | None = None, slots: int = SLOTS, sh
     # As many rows as slots, a fixed number.
     sums = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     weight = np.array([sums.get(i, (0, 0))[0] for i in range(slots)], float)
-    if slot_map is None:
-        slot_map = SlotMap.first(slots, shards).rebalance(weight)
+    if not exists(spark, path):
+        SlotMap.first(slots, shards).save(spark, path)
+    SlotMap.load(spark, path).rebalance(weight, shards).save(spark, path)
+    slot_map = SlotMap.load(spark, path)
     before = [0] * slot_map.n_shards
     table = []
     for i, s in enumerate(slot_map.shard_of.tolist()):

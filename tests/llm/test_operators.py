@@ -205,14 +205,22 @@ def test_chat_batches_cut_conversations(spark):
         assert chat.parse(got[c]) == [("assistant" if t % 2 else "user", f"{c}-{t}") for t in range(50)]
 
 
-def test_sharding(spark, docs, data):
-    got = sharding.digest(sharding.shard(docs)).collect()
+def test_sharding(spark, docs, data, tmp_path):
+    got = sharding.digest(sharding.shard(docs, str(tmp_path / "odd"))).collect()
     assert sorted(repr((r["doc_id"], r["size"], r["text_crc32"])) for r in got) == want((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in brute.ROWS)
-    rows = sharding.digest(sharding.shard(spark.read.parquet(f"{data}/documents.parquet"))).collect()
-    for part in (got, rows):
+    whole = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sharding.digest(sharding.shard(whole, str(tmp_path / "map"))).collect()
+    # A later run edits the stored map; with one more shard, rows move to it and the law holds again.
+    again = sharding.digest(sharding.shard(whole, str(tmp_path / "map"), shards=41)).collect()
+    assert {r["map_version"] for r in rows} == {2} and {r["map_version"] for r in again} == {3}
+    for part, shards in ((rows, 40), (again, 41)):
+        load = np.bincount([r["shard"] for r in part], [r["size"] for r in part], shards)
+        largest = max(r["size"] for r in part)
+        assert load.max() - load.min() <= largest and set(r["shard"] for r in part) <= set(range(shards))
+    for part in (got, rows, again):
         for s in {r["shard"] for r in part}:
             assert sorted(r["slot"] for r in part if r["shard"] == s) == list(range(sum(r["shard"] == s for r in part)))
-    assert sharding.shard(empty(docs)).count() == 0
+    assert sharding.shard(empty(docs), str(tmp_path / "empty")).count() == 0
 
 
 def test_slot_map(spark, tmp_path):
@@ -229,11 +237,15 @@ def test_slot_map(spark, tmp_path):
     assert (replay == second.shard_of).all() and (first.shard_of == np.arange(8192) % 40).all()
     for m in (first, second):
         m.save(spark, str(tmp_path / "map"))
-    assert (sharding.SlotMap.load(spark, str(tmp_path / "map")).shard_of == second.shard_of).all()
+    stored = sharding.SlotMap.load(spark, str(tmp_path / "map"))
+    assert (stored.shard_of == second.shard_of).all() and (stored.version, stored.n_shards) == (2, 40)
+    assert (sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard_of == first.shard_of).all()
     # A further shard is filled by moves into it alone.
     third = second.rebalance(weight, 41)
     moved = third.shard_of != second.shard_of
     assert np.bincount(third.shard_of, weight, 41)[40] > 0.9 * weight.sum() / 41 and moved.mean() < 0.2
+    third.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).n_shards == 41
 
 
 def near_rows():
