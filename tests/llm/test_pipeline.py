@@ -9,6 +9,7 @@ import corpus_pipeline
 from inkwell.llm import mixing, pii, queries, quality_model
 from tests.comparing import oracle, rows
 from tests.llm import brute
+from tests.llm.test_near_stage import components
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -27,7 +28,7 @@ def test_stages(spark, data):
     kept = kept.cache()
     one = own["near_duplicates"](spark, kept, data)
     plain = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(r[0] for r, (_, c) in zip(plain, brute.near(plain), strict=True) if c == r[0]) and one.columns == docs.columns
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(i for i, _, c in components(plain, 5, 80) if c == i) and one.columns == docs.columns
     clean = own["personal_data"](spark, one, data)
     text = {r["doc_id"]: r["text"] for r in one.collect()}
     for r in clean.collect():
@@ -47,7 +48,7 @@ def test_run_is_the_stages(spark, data):
 
 
 def test_odd_rows(spark, data):
-    docs = spark.createDataFrame(brute.ROWS, brute.SCHEMA)
+    docs = brute.documents(spark).withColumns({c: F.lit("clash") for c in ("_tag", "_tagn", "_place", "row", "rate", "_k", "words", "doc_id_", "_row")})
     for name, stage in corpus_pipeline.STAGES:
         for df in (docs, docs.limit(0)):
             out = stage(spark, df, data)
@@ -57,3 +58,10 @@ def test_odd_rows(spark, data):
                 assert out.columns == docs.columns
     one = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, data)
     assert one.where("doc_id = 6").count() == 1 and one.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_one_id_of_two_documents(spark, data):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 1), (1, "another text altogether", "en", "a", 1), (1, text, "en", "b", 2), (None, text + " end", "en", "a", 1), (2, text + " end", "fr", "c", 1), (3, "", "en", "a", 1), (3, None, "en", "a", 1), (3, "", "en", "b", 1)]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, brute.SCHEMA), data).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[1], rows[5], rows[6]]))
