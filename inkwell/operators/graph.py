@@ -72,21 +72,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     """(node_id, pagerank) after a fixed number of iterations. The mass of nodes without outgoing edges is lost.
 
     Links carry their source's degree, so an iteration is one join and one sum
-    with map-side partials; lineage is cut every few iterations.
+    with map-side partials. Nodes and links are kept dealt by node while the
+    iterations last, so only the sums are shuffled; lineage is cut every few iterations.
     """
-    ids = cut(nodes.select("node_id").distinct())
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = nodes.select("node_id").distinct().repartition(parts, "node_id").persist()
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
     links = _inside(nodes, edges, edge_types).groupBy("u", "v").agg(F.count("*").alias("k"))
     degree = links.groupBy("u").agg(F.sum("k").alias("d"))
-    links = cut(links.join(degree, "u").select("u", "v", (F.col("k") / F.col("d")).alias("w")))
+    links = links.join(degree, "u").select("u", "v", (F.col("k") / F.col("d")).alias("w")).repartition(parts, "u").persist()
     score = ids.withColumn("pagerank", F.lit(1.0 / n))
     for i in range(iterations):
         sent = links.join(score, links["u"] == score["node_id"]).groupBy(F.col("v").alias("node_id")).agg(F.sum(F.col("w") * F.col("pagerank")).alias("s"))
         score = ids.join(sent, "node_id", "left").select("node_id", ((1 - damping) / n + damping * F.coalesce("s", F.lit(0.0))).alias("pagerank"))
-        if i % every == every - 1 and i + 1 < iterations:
+        if i % every == every - 1 or i + 1 == iterations:
             score = cut(score)
+    links.unpersist()
+    ids.unpersist()
     return score
 
 

@@ -10,6 +10,7 @@ from inkwell.operators import retrieval as R
 from inkwell.operators import timeseries
 from inkwell.operators.graph_build import Graph, build
 from inkwell.plans.registry import query
+from inkwell.plans.scores import UNIFIED, unified
 from inkwell.sources import mappers, readers, schema_versions, sinks
 from inkwell.sources.entities import AS_OF, ctes, entity, table
 from inkwell.streaming.incremental import retained
@@ -137,3 +138,17 @@ def _(spark, sf):
         .when(m == 3, F.lit(None)).otherwise(F.concat(F.lit('[{"authorId":"'), i, F.lit('"}]')))
     )
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.author_names_of_json(said), ";").alias("names"))
+
+
+@query("s14_stored_tables", GR + " select edge_id, source_id::varchar as source_id, edge_type, 1 as version from cites")
+def _(spark, sf):
+    folder = scratch(spark)
+    edges = entity(spark, sf, "cites").select("edge_id", "edge_type", F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"), F.create_map(F.lit("by"), F.lit("test")).alias("properties"), F.lit(1).alias("version"))
+    edges.write.parquet(f"{folder}/edges")
+    return readers.stored(spark, folder, "edges").select("edge_id", "source_id", "edge_type", "version")
+
+
+@query("o6_top_papers", P + f" select paper_id, round({UNIFIED}, 6)::double as score from papers order by score desc, pos limit 20")
+def _(spark, sf):
+    scored = entity(spark, sf, "papers").withColumn("score", F.round(unified(), 6))
+    return scored.orderBy(F.col("score").desc(), "pos").limit(20).select("paper_id", "score")

@@ -23,6 +23,12 @@ def _(spark, sf):
     return M.poll(spark, _stream(spark, sf), f"{base}/registry", f"{base}/state", "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
+@query("m3_single_source", "select user_id, arg_min(event_id, (ts, event_id)) as event_id from events where event_type = 'purchase' group by user_id")
+def _(spark, sf):
+    base = scratch(spark)
+    return M.poll(spark, _stream(spark, sf).where("event_type = 'purchase'"), f"{base}/registry", f"{base}/state", "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
 @query("m5_windowed_stream", "select event_type, time_bucket(interval 6 hours, ts)::varchar as window_start, count(*) as n from events group by all")
 def _(spark, sf):
     base = scratch(spark)
