@@ -50,7 +50,7 @@ BLOCK = 1 << 15
 #: Least bits of a set's parity bitmap, in which two sets differ in no more bits than they differ in shingles.
 PARITY_BITS = 1024
 #: Members up to which the pairs of a list are rows; sets of a block of a longer list; pairs that a task compares at once.
-SHORT, SIDE, AT_ONCE = 16, 2048, 1 << 16
+SHORT, SIDE, AT_ONCE = 16, 512, 1 << 16
 #: Buckets of list keys that are counted; keys of a bucket with over 1 / HOT of all entries are counted by partial sums, others by a window.
 KEY_BUCKETS, HOT, LEAST_HOT = 1 << 14, 4096, 2000
 #: What listing a shingle costs, and what verifying a set costs for each shingle, in enumerated subsets.
@@ -188,12 +188,13 @@ _BLOCKS = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
 
 def _gathered(rows: DataFrame, fill: Callable, size: int, start: type, total: type, merge: Callable) -> np.ndarray:
-    """An array of a fixed size that every task fills; the tasks' arrays are merged block by block on the executors."""
+    """An array of a fixed size that every task fills; the tasks' arrays are merged block by block on the executors, and come to the driver as a few MB at most."""
 
     def each(batches):
         out = np.zeros(size, start)
         fill(batches, out)
-        yield pa.RecordBatch.from_pydict({"block": list(range(-(-size // BLOCK))), "data": [out[i : i + BLOCK].tobytes() for i in range(0, size, BLOCK)]}, schema=_BLOCKS)
+        some = [i for i in range(-(-size // BLOCK)) if out[i * BLOCK : (i + 1) * BLOCK].any()]
+        yield pa.RecordBatch.from_pydict({"block": some, "data": [out[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in some]}, schema=_BLOCKS)
 
     def add(batches):
         got: dict[int, np.ndarray] = {}
@@ -204,8 +205,9 @@ def _gathered(rows: DataFrame, fill: Callable, size: int, start: type, total: ty
         yield pa.RecordBatch.from_pydict({"block": list(got), "data": [x.tobytes() for x in got.values()]}, schema=_BLOCKS)
 
     out = np.zeros(size, total)
-    for r in rows.mapInArrow(each, "block int, data binary").repartition("block").mapInArrow(add, "block int, data binary").toLocalIterator():
-        out[r["block"] * BLOCK : r["block"] * BLOCK + len(r["data"]) // out.itemsize] = np.frombuffer(r["data"], total)
+    got = rows.mapInArrow(each, "block int, data binary").repartition("block").mapInArrow(add, "block int, data binary").toArrow()
+    for block, data in zip(got.column("block").to_pylist(), got.column("data").to_pylist(), strict=True):
+        out[block * BLOCK : block * BLOCK + len(data) // out.itemsize] = np.frombuffer(data, total)
     return out
 
 
@@ -251,8 +253,8 @@ def band(n: int, percent: int = PERCENT) -> int:
 
 
 def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """uid and, of each row (doc_id, text), the set's size, band, class, parity bitmap and keys."""
-    shared = rows.sparkSession.sparkContext.broadcast(ranks(rows, words))
+    """uid, the tag and, of each row (doc_id, text, tag), the set's size, band, class, parity bitmap and keys."""
+    shared = rows.sparkSession.sparkContext.broadcast(ranks(rows.select("doc_id", "text"), words))
     light = boundary(percent)
     # A light set of which every partner is light needs no list.
     alone = percent * light // 100
@@ -271,12 +273,12 @@ def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(sizes, pa.int64()), pa.array([band(n, percent) if n else 0 for n in sizes], pa.int32()), pa.array([signature(s) for s in found], pa.binary()),
-                    pa.array([parity(s) for s in found], longs), pa.array(listed, longs), pa.array(small, longs), pa.array(large, longs),
+                    pa.array([parity(s) for s in found], longs), pa.array(listed, longs), pa.array(small, longs), pa.array(large, longs), part.column(2),
                 ],
-                ["doc_id", "n_shingles", "band", "sig", "parity", "listed", "small", "large"],
+                ["doc_id", "n_shingles", "band", "sig", "parity", "listed", "small", "large", "tag"],
             )
 
-    table = rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, band int, sig binary, parity array<bigint>, listed array<bigint>, small array<bigint>, large array<bigint>")
+    table = rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, band int, sig binary, parity array<bigint>, listed array<bigint>, small array<bigint>, large array<bigint>, tag binary")
     # The checkpoint fixes the numbers.
     return cut(table.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -515,54 +517,48 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("n_links"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) has one v, or is one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """gid, comp: the least node reachable from each node of the links (a, b), by alternating stars to and from the least neighbour."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         far = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = far.groupBy("u").agg(F.min("v").alias("m"))
         near = far.join(least, "u")
         edges = cut(near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        new = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if new == state:
-            break
-        state = new
     return edges.select(F.col("u").alias("gid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("gid"), F.col("v").alias("comp"))).distinct()
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """gid, comp: the root of each node of a forest whose links (a, b) give each b one parent a below it; paths halve each round."""
-    up = cut(links.select(F.col("b").alias("gid"), F.col("a").alias("comp")))
-    while True:
-        over = up.select(F.col("gid").alias("comp"), F.col("comp").alias("above"))
-        new = cut(up.join(over, "comp", "left").select("gid", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")))
-        up = new.select("gid", "comp")
-        if not new.where("moved").limit(1).count():
-            return up
-
-
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """gid, comp of all nodes of the components so far and of the further links (a, b)."""
     root = lambda x: F.coalesce(f"comp_{x}", x).alias(x)
-    between = links.join(comp.toDF("a", "comp_a"), "a", "left").join(comp.toDF("b", "comp_b"), "b", "left").select(root("a"), root("b")).where("a != b").distinct()
+    between = cut(links.join(comp.toDF("a", "comp_a"), "a", "left").join(comp.toDF("b", "comp_b"), "b", "left").select(root("a"), root("b")).where("a != b").distinct())
+    if between.isEmpty():
+        return comp
     upper = cut(components(between))
     below = comp.join(upper.toDF("comp", "top"), "comp", "left").select("gid", F.coalesce("top", "comp").alias("comp"))
     return cut(below.union(upper.join(comp.select("gid"), "gid", "left_anti")))
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, every: bool = False, tag_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership and links.
 
-    Membership has a row per row of df: doc_id, n_shingles, class_id (null for an
-    empty set), component_id. Links are pairs (a, b) of class ids that were
+    Membership has a row per row of df: doc_id, n_shingles, class_id and component
+    (a class id; both null for an empty set), component_id, and tag, the binary
+    column that ``tag_col`` names, by which a caller can find the row again. Links are pairs (a, b) of class ids that were
     verified; they join all classes of a component. With ``every`` they are all
     links of distinct classes, whose number grows with the square of a group.
     """
+    tag = F.col(tag_col) if tag_col else F.lit(None)
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = sets(rows, percent, words)
+    table = sets(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), tag.cast("binary").alias("tag")), percent, words)
     groups = cut(table.where("n_shingles > 0").groupBy("sig").agg(F.min("uid").alias("gid"), F.min("doc_id").alias("least_id")))
     reps = table.join(groups.select(F.col("gid").alias("uid")), "uid").withColumnRenamed("uid", "gid")
     classes = cut(reps.select("gid", "n_shingles", "sig", "parity", "doc_id"))
@@ -573,20 +569,21 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     # One check a set comes first: it joins the most part of each group.
     checked = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _verify(checked, classes, rows, percent, words)
-    comp = _joined(roots(links), light)
     links = links.union(light)
+    comp = cut(components(links))
     # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
     for rest in (lambda: _close(_drawn(lists, comp, 2), classes, percent), lambda: _candidates(lists, classes, comp, percent)):
         pairs = cut(rest().join(checked, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
+        if not pairs.isEmpty():
             more = _verify(pairs, classes, rows, percent, words)
             links = links.union(more)
             comp = _joined(comp, more)
             checked = checked.union(pairs)
     named_groups = groups.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_sig = named_groups.join(least, "comp").select("sig", "gid", "component_id")
+    by_sig = named_groups.join(least, "comp").select("sig", "gid", F.col("comp").alias("component"), "component_id")
     # Empty sets get keys of their own and match nothing.
     key = F.when(F.col("n_shingles") > 0, F.col("sig")).otherwise(F.concat(F.lit("none-"), F.xxhash64("doc_id").cast("string")).cast("binary"))
-    members = table.select("doc_id", "n_shingles", key.alias("sig")).join(by_sig, "sig", "left")
-    return members.select("doc_id", "n_shingles", F.col("gid").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), every_link(reps, lists, classes, rows, percent, words) if every else links
+    members = table.select("doc_id", "n_shingles", "tag", key.alias("sig")).join(by_sig, "sig", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return members.select("doc_id", "n_shingles", F.col("gid").alias("class_id"), "component", own, "tag"), every_link(reps, lists, classes, rows, percent, words) if every else links
