@@ -1,11 +1,12 @@
 """BPE encoding and decoding by a prefix-sharing trie of the distinct words.
 
-The distinct words of a batch go into a trie whose edges are the symbols that
-merging starts from. A depth-first walk gives each node the last token of its
-prefix's encoding: the encoding of a prefix is that of a shorter prefix and one
-more token, and exactly one token fits behind the shorter prefix's last token.
-So a prefix that many words share is encoded once. Words already encoded are
-kept in a bounded table of each Python worker.
+The distinct words of a batch go in order into a trie whose edges are the
+symbols that merging starts from. A depth-first walk, made while the trie grows,
+gives each node the last token of its prefix's encoding: the encoding of a
+prefix is that of a shorter prefix and one more token, and exactly one token
+fits behind the shorter prefix's last token. So a prefix that many words share is
+encoded once, and only one branch is in memory. Words already encoded are kept
+in a bounded table of each Python worker.
 
 The normalizer and the splitting into words come from the tokenizer's file, as
 do its special tokens, which are recognised in the raw text.
@@ -20,6 +21,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
+from os.path import commonprefix
 from struct import pack
 from unicodedata import category
 
@@ -112,59 +114,51 @@ class PairCheck:
                 until, right = b + 1, self.parts[right][0]
 
     def encode_all(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each word; every shared prefix is walked once."""
-        root: dict = {}
-        for w in words:
-            if not w:
-                continue
-            node = root
-            for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault(w[-1] + self.end, w)
-        return self._walk(root)
+        """The ids of each word; every shared prefix is walked once.
 
-    def _walk(self, root: dict) -> dict[str, list[int]]:
+        The words go into the trie in order, so a branch is complete when a word
+        leaves it: the trie is walked as it grows, and only the branch at hand is kept.
+        """
         found: dict[str, list[int]] = {}
-        vocab, fits, never, longest = self.vocab, self.fits, self.never, self.longest
-        known = self.known
-        path: list[str] = []
-        last: list[int] = []  # the last token of the prefix's encoding at each depth
+        path = ""
+        last: list[int] = []  # the last token of the prefix's encoding at each depth of the branch
         width: list[int] = []  # and how many symbols it spans
-        stack = [iter(root.items())]
-        while stack:
-            for symbol, below in stack[-1]:
-                piece, start = symbol, len(path)
-                while True:  # the candidates end here and start ever earlier; exactly one fits
-                    t = vocab.get(piece)
-                    if t is not None and t not in never:
-                        if not start:
-                            break
-                        ok = known.get(last[start - 1] << 20 | t)
-                        if fits(last[start - 1], t) if ok is None else ok:
-                            break
-                    start -= 1
-                    if start < 0 or len(path) - start >= longest:
-                        raise ValueError(f"no token ends {''.join(path) + symbol!r}")
-                    piece = path[start] + piece
-                if below.__class__ is dict:
-                    path.append(symbol)
-                    last.append(t)
-                    width.append(len(path) - start)
-                    stack.append(iter(below.items()))
-                    break
-                out = [t]
-                while start:
-                    out.append(last[start - 1])
-                    start -= width[start - 1]
-                found[below] = out[::-1]
-            else:
-                stack.pop()
-                if path:
-                    path.pop()
-                    last.pop()
-                    width.pop()
+        for word in sorted(words):
+            if not word:
+                continue
+            body = word[:-1]
+            shared = len(commonprefix((path, body)))
+            del last[shared:], width[shared:]
+            for depth in range(shared, len(body)):
+                t, start = self._ending(body, depth, body[depth], last)
+                last.append(t)
+                width.append(depth + 1 - start)
+            path, start = body, len(body)
+            t, start = self._ending(body, start, word[-1] + self.end, last)
+            out = [t]
+            while start:
+                out.append(last[start - 1])
+                start -= width[start - 1]
+            found[word] = out[::-1]
         return found
 
+    def _ending(self, path: str, at: int, symbol: str, last: list[int]) -> tuple[int, int]:
+        """The token that ends with the symbol behind the first ``at`` symbols of the path, and where it starts: exactly one fits."""
+        vocab, known, never = self.vocab, self.known, self.never
+        piece, start = symbol, at
+        while True:
+            t = vocab.get(piece)
+            if t is not None and t not in never:
+                if not start:
+                    return t, 0
+                ok = known.get(last[start - 1] << 20 | t)
+                if self.fits(last[start - 1], t) if ok is None else ok:
+                    return t, start
+            start -= 1
+            if start < 0 or at - start >= self.longest:
+                raise ValueError(f"no token ends {path[:at] + symbol!r}")
+            piece = path[start] + piece
+
 
 class Codec:
     """Encodes and decodes texts as the tokenizer's file says, without its own BPE."""
