@@ -6,19 +6,19 @@ the columns of ``documents``.
 
 Defined results: null and empty texts, null ids and repeated rows pass as the
 operators of each stage say; a null id cannot be matched with a label and is
-scored like any other. An empty table gives empty results.
+scored like any other. Further columns, whatever their names, are kept. An empty
+table gives empty results.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, mixing, pii, quality_model, setjoin
+from inkwell.llm.common import cut, remove, shared_folder
 
 #: Words of a shingle and hundredths of similarity at which two documents are near copies; looser than op8's contract.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -42,16 +42,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one whose id is the component's.
+    """Keep one document of each group: that of the least id, null ids last, then of the least digest of id and text.
 
-    Documents without words are in no group. Rows that repeat an id are kept once.
+    Documents without words are in no group. Rows equal in id and text are one
+    document and stay once; rows that share an id but no group stay both.
     """
-    kept = setjoin.classify(docs, percent=NEAR_PERCENT, words=NEAR_WORDS)[0]
-    kept = kept.where("component_id = doc_id or component_id is null").select("doc_id", "n_shingles").distinct()
-    own = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    nameless = docs.where("doc_id is null")
-    return own.withColumn("_place", once).where("_place = 1").select(docs.columns).unionByName(nameless.distinct())
+    tag = "_tag"
+    while tag in docs.columns:
+        tag += "_"
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "null").otherwise(F.concat(F.lit("text"), F.col("text"))))
+    tagged = docs.withColumn(tag, F.unhex(F.md5(own)))
+    members = setjoin.classify(tagged, percent=NEAR_PERCENT, words=NEAR_WORDS, tag_col=tag)[0]
+    by_tag = members.groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("component").alias("component"), F.count("*").alias("n"))
+    least = by_tag.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag", "n")).alias("first"))
+    kept = cut(least.select(F.col("first.tag").alias(tag), F.col("first.n").alias(f"{tag}n")).union(by_tag.where("component is null").select("tag", "n")))
+    # Texts move once. Only rows that repeat an id and a text go on to be reduced to one.
+    found = tagged.join(kept.where(F.col(f"{tag}n") == 1).select(tag), tag, "left_semi").select(docs.columns)
+    again = tagged.join(kept.where(F.col(f"{tag}n") > 1).select(tag), tag, "left_semi")
+    return found.unionByName(again.groupBy(tag).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,13 +82,14 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="inkwell-")
-    folder = f"{base}/corpus-{uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/corpus-{uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i + 1 == len(STAGES):
             return out
         out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
