@@ -34,7 +34,7 @@ def _common(masks: dict[str, int], n: int, b: str) -> int:
 
 
 def target_hash(targets: DataFrame, by: list[str]) -> DataFrame:
-    """F-STR11: ``target_hash`` of each group's (name, description, output_format, required, pos), in the order of names."""
+    """F-STR11: ``target_hash`` of each group's (name, description, output_format, required, pos), in the order of names. A group is one paper's or topic's short list of targets."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     one = F.to_json(F.struct(low("description").alias("description"), low("name").alias("name"), F.col("output_format"), F.col("required")))
     items = F.array_sort(F.collect_list(F.struct(low("name").alias("n"), F.col("pos"), one.alias("j"))))

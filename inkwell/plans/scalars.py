@@ -96,13 +96,13 @@ def _(spark, sf):
 
 @query(
     "f_str11_target_hash",
-    """with t as (select p_brand as g, lower(trim(p_type)) n, lower(trim(p_name)) d, p_size % 2 = 0 r, p_partkey from part)
+    """with t as (select p_partkey // 8 as g, lower(trim(p_type)) n, lower(trim(p_name)) d, p_size % 2 = 0 r, p_partkey from part)
     select g, 'sha256:' || sha256('[' || string_agg('{"description":"' || d || '","name":"' || n || '","output_format":"text","required":' || case when r then 'true' else 'false' end || '}', ',' order by n, p_partkey) || ']') as target_hash from t group by g""",
 )
 def _(spark, sf):
     from inkwell.operators.identity import target_hash
 
-    t = table(spark, sf, "part").select(F.col("p_brand").alias("g"), F.col("p_type").alias("name"), F.col("p_name").alias("description"), F.lit("text").alias("output_format"), (F.col("p_size") % 2 == 0).alias("required"), F.col("p_partkey").alias("pos"))
+    t = table(spark, sf, "part").select(F.expr("p_partkey div 8").alias("g"), F.col("p_type").alias("name"), F.col("p_name").alias("description"), F.lit("text").alias("output_format"), (F.col("p_size") % 2 == 0).alias("required"), F.col("p_partkey").alias("pos"))
     return target_hash(t, ["g"])
 
 
