@@ -51,6 +51,8 @@ BLOCK = 1 << 15
 PARITY_BITS = 1024
 #: Members up to which the pairs of a list are rows; sets of a block of a longer list; pairs that a task compares at once.
 SHORT, SIDE, AT_ONCE = 16, 512, 1 << 16
+#: Sets drawn by hash from a list of several components, with which each of its sets is verified.
+DRAWS = 2
 #: Buckets of list keys that are counted; keys of a bucket with over 1 / HOT of all entries are counted by partial sums, others by a window.
 KEY_BUCKETS, HOT, LEAST_HOT = 1 << 14, 4096, 2000
 #: What listing a shingle costs, and what verifying a set costs for each shingle, in enumerated subsets.
@@ -253,7 +255,10 @@ def band(n: int, percent: int = PERCENT) -> int:
 
 
 def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """uid, the tag and, of each row (doc_id, text, tag), the set's size, band, class, parity bitmap and keys."""
+    """uid, the tag and, of each row (doc_id, text, tag), the set's size, band, class, parity bitmap and keys.
+
+    Only the first row of a class in its task (``first``) has a bitmap and keys.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(ranks(rows.select("doc_id", "text"), words))
     light = boundary(percent)
     # A light set of which every partner is light needs no list.
@@ -261,9 +266,16 @@ def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     longs = pa.list_(pa.int64())
 
     def run(batches):
+        seen: set[bytes] = set()
         for part, found in _texts(batches, words):
             listed, small, large = [], [], []
-            for s in found:
+            sigs = [signature(s) for s in found]
+            first = []
+            for sig, s in zip(sigs, found, strict=True):
+                first.append(len(s) > 0 and sig not in seen)
+                seen.add(sig)
+            kept = [s if f else s[:0] for s, f in zip(found, first, strict=True)]
+            for s in kept:
                 n = len(s)
                 listed.append(_listed(s, shared.value, prefix_length(n, percent)).view(np.int64) if n > alone else [])
                 keys = list(_light_keys(s, percent)) if 0 < n <= light else []
@@ -272,13 +284,13 @@ def sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
             sizes = [len(s) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array([band(n, percent) if n else 0 for n in sizes], pa.int32()), pa.array([signature(s) for s in found], pa.binary()),
-                    pa.array([parity(s) for s in found], longs), pa.array(listed, longs), pa.array(small, longs), pa.array(large, longs), part.column(2),
+                    part.column(0), pa.array(sizes, pa.int64()), pa.array([band(n, percent) if n else 0 for n in sizes], pa.int32()), pa.array(sigs, pa.binary()),
+                    pa.array([parity(s) if len(s) else [] for s in kept], longs), pa.array(listed, longs), pa.array(small, longs), pa.array(large, longs), part.column(2), pa.array(first),
                 ],
-                ["doc_id", "n_shingles", "band", "sig", "parity", "listed", "small", "large", "tag"],
+                ["doc_id", "n_shingles", "band", "sig", "parity", "listed", "small", "large", "tag", "first"],
             )
 
-    table = rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, band int, sig binary, parity array<bigint>, listed array<bigint>, small array<bigint>, large array<bigint>, tag binary")
+    table = rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, band int, sig binary, parity array<bigint>, listed array<bigint>, small array<bigint>, large array<bigint>, tag binary, first boolean")
     # The checkpoint fixes the numbers.
     return cut(table.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -373,7 +385,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int,
     return cut(met.select("gid", "a", "second", "items").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(table: DataFrame, reps: DataFrame) -> DataFrame:
     """key, band, gid, n, at, pivot: who stands where in which list of two sets or more; ``at`` is the key's place among the set's own.
 
     A set stands in the lists of its band and the next one, so that linked sets
@@ -381,7 +393,7 @@ def _lists(reps: DataFrame) -> DataFrame:
     """
     entries = reps.select("gid", "band", F.col("n_shingles").cast("int").alias("n"), F.posexplode("listed").alias("at", "key"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")
-    counts = cut(entries.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    counts = cut(table.select(F.explode("listed").alias("key")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
     limit = max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
     # At most HOT of them.
     hot = [r["bucket"] for r in counts.where(F.col("n") > limit).select("bucket").collect()]
@@ -471,33 +483,45 @@ def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return dealt.select(*_MEMBERS, "own", "i", "j", "parity").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _candidates(lists: DataFrame, classes: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
-    """a, b: the close pairs of sets that share a list but no component; without components, of all sets that share a list."""
-    named = lists.drop("pivot").withColumn("comp", F.col("gid")) if comp is None else lists.drop("pivot").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
+def _members(lists: DataFrame, comp: DataFrame | None, draws: int = 0) -> DataFrame:
+    """The members of lists of several components, with the number of holders and, the same for the whole list, ``draws`` of them that are drawn by hash.
+
+    Without components each set is one of its own.
+    """
+    named = lists.withColumn("comp", F.col("gid")) if comp is None else lists.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     named = cut(named.select(*_MEMBERS))
-    mixed = named.groupBy("key", "band").agg(F.count("*").alias("holders"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "band", "holders")
-    members = cut(named.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders"))
+    drawn = [F.min(F.struct(F.xxhash64("gid", F.lit(i)).alias("h"), "gid", "comp")) for i in range(draws)]
+    mixed = named.groupBy("key", "band").agg(F.count("*").alias("holders"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(d.alias(f"drawn{i}") for i, d in enumerate(drawn)))
+    mixed = mixed.where("lo != hi").select("key", "band", "holders", *(f"drawn{i}" for i in range(draws)))
+    return cut(named.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders", *(f"drawn{i}" for i in range(draws))))
+
+
+def _drawn(members: DataFrame, draws: int) -> DataFrame:
+    """a, b: each set of a list with those drawn of its list that are of other components."""
+    pairs = members.select("gid", "comp", F.explode(F.array(*(f"drawn{i}" for i in range(draws)))).alias("o")).where("comp != o.comp")
+    return pairs.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
+
+
+def _candidates(members: DataFrame, classes: DataFrame, merged: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: the close pairs of sets that share a list but no component; merged says which components (comp) have become one (top) since."""
+    members = members.select(*_MEMBERS, "holders")
+    if merged is not None:
+        # Components only grow together, so lists of one component stay so.
+        now = members.join(merged, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).select(*_MEMBERS, "holders")
+        mixed = now.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "band")
+        members = cut(now.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders"))
     short = members.where(F.col("holders") <= SHORT)
     met = short.alias("x").join(short.alias("y"), F.expr(f"x.key = y.key and x.band = y.band and x.comp < y.comp and {_plausible('x', 'y', percent)}"))
     met = met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
     return _close(met, classes, percent).union(_in_blocks(members.where(F.col("holders") > SHORT), classes, percent)).distinct()
 
 
-def _drawn(lists: DataFrame, comp: DataFrame, draws: int) -> DataFrame:
-    """a, b: each set of a list of several components with ``draws`` sets of other components that are drawn by hash, the same for the whole list."""
-    named = cut(lists.select("key", "band", "gid").join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid")))
-    one = [F.min(F.struct(F.xxhash64("gid", F.lit(i)).alias("h"), "gid", "comp")).alias(f"drawn{i}") for i in range(draws)]
-    drawn = named.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *one).where("lo != hi").select("key", "band", F.array(*(f"drawn{i}" for i in range(draws))).alias("drawn"))
-    pairs = named.join(drawn, ["key", "band"]).select("gid", "comp", F.explode("drawn").alias("o")).where("comp != o.comp")
-    return pairs.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
-
-
 def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
     """a, b: all links of distinct classes: the light pairs with a common key, and every close pair of a list, verified."""
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda c: reps.select("gid", F.explode(c).alias("key"))
     light = cut(ordered(_paired(side("small"), side("large"), ["key"])))
-    heavy = cut(_candidates(lists, classes, None, percent).join(light, ["a", "b"], "left_anti"))
+    heavy = cut(_candidates(_members(lists, None), classes, None, percent).join(light, ["a", "b"], "left_anti"))
     return light.union(_verify(heavy, classes, rows, percent, words))
 
 
@@ -536,15 +560,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("gid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("gid"), F.col("v").alias("comp"))).distinct()
 
 
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """gid, comp of all nodes of the components so far and of the further links (a, b)."""
+def _joined(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """gid, comp of all nodes of the components so far and of the further links (a, b); and comp, top of the components that became one."""
     root = lambda x: F.coalesce(f"comp_{x}", x).alias(x)
     between = cut(links.join(comp.toDF("a", "comp_a"), "a", "left").join(comp.toDF("b", "comp_b"), "b", "left").select(root("a"), root("b")).where("a != b").distinct())
     if between.isEmpty():
-        return comp
-    upper = cut(components(between))
-    below = comp.join(upper.toDF("comp", "top"), "comp", "left").select("gid", F.coalesce("top", "comp").alias("comp"))
-    return cut(below.union(upper.join(comp.select("gid"), "gid", "left_anti")))
+        return comp, None
+    upper = cut(components(between).toDF("comp", "top"))
+    below = comp.join(upper, "comp", "left").select("gid", F.coalesce("top", "comp").alias("comp"))
+    return cut(below.union(upper.toDF("gid", "comp").join(comp.select("gid"), "gid", "left_anti"))), upper
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, every: bool = False, tag_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -560,11 +584,14 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = sets(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), tag.cast("binary").alias("tag")), percent, words)
     groups = cut(table.where("n_shingles > 0").groupBy("sig").agg(F.min("uid").alias("gid"), F.min("doc_id").alias("least_id")))
-    reps = table.join(groups.select(F.col("gid").alias("uid")), "uid").withColumnRenamed("uid", "gid")
+    # Of the first rows of a class the least is its representative. The others are few, so they are what is left out.
+    firsts = table.where("first")
+    others = cut(firsts.select("sig", "uid").join(groups.select("sig", "gid"), "sig").where("uid != gid").select("uid"))
+    reps = firsts.join(others, "uid", "left_anti").withColumnRenamed("uid", "gid")
     classes = cut(reps.select("gid", "n_shingles", "sig", "parity", "doc_id"))
     light = cut(_light_links(reps))
 
-    lists = _lists(reps)
+    lists = _lists(table, reps)
     stars = _close(lists.where("gid != pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct(), classes, percent)
     # One check a set comes first: it joins the most part of each group.
     checked = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -572,12 +599,13 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     links = links.union(light)
     comp = cut(components(links))
     # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
-    for rest in (lambda: _close(_drawn(lists, comp, 2), classes, percent), lambda: _candidates(lists, classes, comp, percent)):
+    members, merged = _members(lists, comp, DRAWS), None
+    for rest in (lambda: _close(_drawn(members, DRAWS), classes, percent), lambda: _candidates(members, classes, merged, percent)):
         pairs = cut(rest().join(checked, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             more = _verify(pairs, classes, rows, percent, words)
             links = links.union(more)
-            comp = _joined(comp, more)
+            comp, merged = _joined(comp, more)
             checked = checked.union(pairs)
     named_groups = groups.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
