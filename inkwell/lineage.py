@@ -25,8 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    return f"{shared_folder(spark)}/{uuid4().hex}"
+    """A new folder that all executors share; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,7 +40,5 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
