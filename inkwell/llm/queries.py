@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkwell.llm import bpe, chat, ledger, mixing, pii, quality_model, secrets, setjoin, sharding, syncmers
-from inkwell.llm.common import cut, shared_folder, table
+from inkwell.llm.common import cut, scratch, table
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid4().hex}"))
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), scratch(spark, "slot-map")))
 
 
 def op8_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
