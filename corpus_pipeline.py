@@ -12,13 +12,11 @@ table gives empty results.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, mixing, pii, quality_model, setjoin
-from inkwell.llm.common import cut, remove, shared_folder
+from inkwell.llm.common import cut, remove, scratch
 
 #: Words of a shingle and hundredths of similarity at which two documents are near copies; looser than op8's contract.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -82,7 +80,7 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid4().hex}"
+    folder = scratch(spark, "corpus")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
