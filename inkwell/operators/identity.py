@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -92,41 +94,79 @@ def action(found: DataFrame, entry: str, old_hash: str, new_hash: str, known_top
     return F.when(F.col(entry).isNull(), "full_process").when(F.col(old_hash) != F.col(new_hash), "backfill").when(F.col(known_topic), "skip").otherwise("map_only")
 
 
-#: Titles of a block on either side of a comparison, and bits of a title's bitmap of trigrams.
-BLOCK, BITMAP = 2048, 1024
+#: Titles of a block on either side of a comparison, buckets of characters that are counted, and most bits of a title's bitmap of bigrams.
+BLOCK, LETTERS, BITMAP = 4096, 32, 1 << 14
+#: Length of a right title from which difflib takes no match from characters of more than a hundredth of it, one aside.
+POPULAR = 200
 
 
-def _bitmaps(titles: list[str]) -> np.ndarray:
-    """For each title the parity of its distinct trigrams in each of a fixed number of bits."""
-    out = np.zeros((len(titles), BITMAP), np.uint8)
+def _letters(titles: list[str]) -> np.ndarray:
+    """(bucket, title): how often a title has the characters of each bucket."""
+    out = np.zeros((LETTERS, len(titles)), np.int32)
     for i, t in enumerate(titles):
-        for g in {t[j : j + 3] for j in range(max(1, len(t) - 2))}:
-            out[i, crc32(g.encode()) % BITMAP] ^= 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        out[:, i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS)
+    return out
+
+
+def _bitmaps(titles: list[str], bits: int) -> np.ndarray:
+    """For each title the parity of its bigrams in each of a number of bits; the same bigram's second, third place count as others."""
+    out = np.zeros((len(titles), bits // 8), np.uint8)
+    for i, t in enumerate(titles):
+        times: dict[str, int] = {}
+        at = []
+        for g in map(add, t, t[1:]):
+            times[g] = n = times.get(g, 0) + 1
+            at.append(crc32(g.encode("utf-8", "surrogatepass"), n) % bits)
+        out[i] = np.packbits((np.bincount(np.array(at, np.int64), minlength=bits) & 1).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _gaps(title: str) -> int:
+    """Most gaps that difflib can leave between matches with this right title: a long title's matches have a rare character each, but for the first."""
+    if len(title) < POPULAR:
+        return len(title)
+    return sum(n for n in Counter(title).values() if n <= len(title) // 100 + 1)
 
 
 def _reaching(threshold: float):
-    """Of a block of left titles those that reach the threshold with one of a block of right titles."""
+    """Of a block of left titles those that reach the threshold with one of a block of right titles.
+
+    At most (1 - t) (|a| + |b|) characters are unmatched. That bounds in how many
+    characters both differ and, as each gap between matches changes two bigrams
+    more at most, in how many bigrams.
+    """
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
-        ks, qs = left["k"].tolist(), right["q"].tolist()
+        ks, qs = sorted(left["k"].tolist(), key=len), sorted(right["q"].tolist(), key=len)
         if not ks or not qs:
             return pd.DataFrame({"k": pd.Series([], dtype="str")})
-        a, b = _bitmaps(ks), _bitmaps(qs)
-        na, nb = np.array([len(k) for k in ks]), np.array([len(q) for q in qs])
+        bits = min(BITMAP, max(1024, 1 << (8 * len(ks[-1]) - 1).bit_length()))
+        a, b = _bitmaps(ks, bits), _bitmaps(qs, bits)
+        most = max(len(ks[-1]), len(qs[-1]))
+        small = np.int16 if 2 * most < 1 << 15 else np.int32
+        la, lb = _letters(ks).T.astype(small), _letters(qs).astype(small)
+        nb, gaps = np.array([len(q) for q in qs]), np.array([_gaps(q) for q in qs])
         out = []
-        for k, bits, n in zip(ks, a, na, strict=True):
-            # At most (1 - t) (|a| + |b|) characters are unmatched, and each changes five trigrams of both at most.
-            differ = np.bitwise_count(b ^ bits).sum(1)
-            total = n + nb
-            may = np.flatnonzero((differ <= 5 * (1 - threshold) * total + 1e-9) & (2 * np.minimum(n, nb) >= threshold * total - 1e-9))
+        for k, own, counts in zip(ks, a, la, strict=True):
+            n = len(k)
+            lo, hi = np.searchsorted(nb, [threshold * n / (2 - threshold) - 1e-6, (2 - threshold) * n / threshold + 1e-6])
+            total = n + nb[lo:hi]
+            lost = np.floor((1 - threshold) * total + 1e-6).astype(small)
+            may = np.flatnonzero(np.abs(lb[:, lo:hi] - counts[:, None]).sum(0, dtype=small) <= lost)
+            if not len(may):
+                continue
+            lost = lost[may].astype(np.int64)
+            may += lo
+            differ = np.bitwise_count(b[may] ^ own).sum(1, dtype=np.int64)
+            near = differ <= lost + 2 * np.minimum(lost, gaps[may])
+            may, differ = may[near], differ[near]
             masks: dict[str, int] = {}
             for i, c in enumerate(k if len(may) else ""):
                 masks[c] = masks.get(c, 0) | 1 << i
-            for j in may[np.argsort(differ[may], kind="stable")].tolist():
-                if _common(masks, len(k), qs[j]) >= threshold * total[j] / 2 - 1e-9 and SequenceMatcher(None, k, qs[j]).ratio() >= threshold:
+            for j in may[np.argsort(differ, kind="stable")].tolist():
+                if _common(masks, n, qs[j]) >= threshold * (n + len(qs[j])) / 2 - 1e-9 and SequenceMatcher(None, k, qs[j]).ratio() >= threshold:
                     out.append(k)
                     break
         return pd.DataFrame({"k": pd.Series(out, dtype="str")})
@@ -139,8 +179,9 @@ def dedup_against(batch: DataFrame, index: DataFrame, threshold: float = 0.90) -
 
     batch and index: pos, doi, title. Titles match from a difflib ratio on. The
     batch's distinct titles are the queries, held against the index's titles of
-    like length in blocks; within a task bitmaps of trigrams rule most pairs out,
-    then a common subsequence does, and only the matching titles are rows.
+    like length in blocks; within a task counts of characters and bitmaps of
+    bigrams rule nearly all pairs out, then a common subsequence does, and only
+    the matching titles are rows.
     """
     left = batch.join(index.where("doi is not null").select("doi").distinct(), "doi", "left_anti")
     lk = cut(left.select("pos", T.title_key_unicode(F.col("title")).alias("k")).where("k != ''"))
