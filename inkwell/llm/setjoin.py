@@ -14,9 +14,10 @@ members end up in one component need no more. In the others each set is
 verified against two more sets drawn by hash. At last every pair of sets from
 different components that share a list is held against sizes, places in the
 lists and parity bitmaps, and what these don't rule out is verified. Pairs of
-long lists are compared inside tasks, block by block, and become rows only if
-they pass. So no link between components is lost, while a group of n near copies
-costs about n checks of whole sets, not n².
+long lists are compared inside tasks, block by block: first by bitmaps, which
+gives clusters of sets that close pairs join, then by the whole sets of each
+cluster, where only links that join something become rows. So no link between
+components is lost, and a group's rows grow with its members, not with their pairs.
 
 Shingles are 64-bit hashes, classes 128-bit hashes of the sorted shingles.
 
@@ -419,10 +420,25 @@ def _plausible(x: str, y: str, percent: int) -> str:
     )
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one reachable by the edges (p, q)."""
+    at = np.arange(n)
+    while True:
+        new = at.copy()
+        np.minimum.at(new, p, at[q])
+        np.minimum.at(new, q, at[p])
+        new = new[new]
+        if (new == at).all():
+            return at
+        at = new
+
+
+def _in_blocks(members: DataFrame, classes: DataFrame, percent: int, pairs: bool = True) -> DataFrame:
     """a, b: the pairs of long lists (members, holders) from different components that sizes, places and parity bitmaps don't rule out.
 
     A list is dealt in blocks by hash; each pair of blocks has a place of its own.
+    Without ``pairs`` what is returned only joins the sets that such pairs join:
+    each set of a place that has one, with the first of those it is joined with.
     """
     own = F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
     placed = members.withColumn("blocks", F.ceil(F.col("holders") / SIDE).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -439,6 +455,7 @@ def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
         both = i[0] == j[0]
         first, second = (np.arange(len(gid)),) * 2 if both else (np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]))
         step = max(1, AT_ONCE // max(1, len(second)))
+        root = np.arange(len(gid))
         for start in range(0, len(first), step):
             x, y = first[start : start + step, None], second[None, :]
             may = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y]))
@@ -450,7 +467,13 @@ def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
                 u, v = p[k : k + AT_ONCE], q[k : k + AT_ONCE]
                 total = n[u] + n[v]
                 near = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
-                yield gid[u[near]], gid[v[near]]
+                if pairs:
+                    yield gid[u[near]], gid[v[near]]
+                else:
+                    root = _roots(len(gid), np.concatenate([np.arange(len(gid)), u[near]]), np.concatenate([root, v[near]]))
+        if not pairs:
+            joined = np.flatnonzero(root != np.arange(len(gid)))
+            yield gid[root[joined]], gid[joined]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -483,6 +506,66 @@ def _in_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return dealt.select(*_MEMBERS, "own", "i", "j", "parity").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _in_clusters(clusters: DataFrame, comp: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """a, b: links that join all components (comp) that links within clusters (gid, cluster) join, by the whole sets.
+
+    Every pair of a cluster from different components is compared inside a task,
+    a pair of blocks at a place; it becomes a row only if it joins what nothing
+    has joined at its place so far, so a place makes fewer rows than it has sets.
+    """
+    named = cut(clusters.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid")))
+    sizes = named.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster", "blocks")
+    placed = named.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = ("cluster", "i", "j")
+    asked = cut(placed.select("cluster", "gid", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(classes.select("gid", "sig", "doc_id"), "gid"))
+    items = _items(asked.select("sig", "doc_id").distinct(), rows, words)
+
+    def compare(gid, top, own, i, j, held) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(s) for s in held])
+        _, items = np.unique(np.concatenate(held), return_inverse=True)
+        parts = np.split(items, np.cumsum(sizes)[:-1])
+        first, second = (np.arange(len(gid)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        if not len(first) or not len(second):
+            return
+        there = np.concatenate([parts[y] for y in second])
+        starts = np.concatenate([[0], np.cumsum(sizes[second])[:-1]])
+        mark = np.zeros(len(items), np.int32)
+        for x in first.tolist():
+            if (top[second] == top[x]).all():
+                continue
+            mark[parts[x]] = 1
+            both = np.add.reduceat(mark[there], starts)
+            mark[parts[x]] = 0
+            met = second[100 * both >= percent * (sizes[x] + sizes[second] - both)]
+            while len(met := met[top[met] != top[x]]):
+                yield gid[x], gid[met[0]]
+                top[top == top[met[0]]] = top[x]
+
+    def run(batches):
+        name, held = None, []
+
+        def links():
+            gid, top, own = (np.array([h[k] for h in held]) for k in range(3))
+            # Rows of a class come once for each of its texts that the filter let pass.
+            _, once = np.unique(gid, return_index=True)
+            found = list(compare(gid[once], top[once], own[once], *name[1:], [held[k][3] for k in once.tolist()]))
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for part in batches:
+            for *place, gid, top, own, items in zip(*(part.column(c).to_pylist() for c in range(6)), part.column(6), strict=True):
+                if held and name != tuple(place):
+                    yield links()
+                    held = []
+                name = tuple(place)
+                held.append((gid, top, own, np.frombuffer(items.as_buffer(), np.uint64).copy()))
+        if held:
+            yield links()
+
+    met = items.join(asked.select("sig", "gid", "comp", "own", *order), "sig").select(*order, "gid", "comp", "own", "items")
+    return cut(met.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct())
+
+
 def _members(lists: DataFrame, comp: DataFrame | None, draws: int = 0) -> DataFrame:
     """The members of lists of several components, with the number of holders and, the same for the whole list, ``draws`` of them that are drawn by hash.
 
@@ -502,18 +585,32 @@ def _drawn(members: DataFrame, draws: int) -> DataFrame:
     return pairs.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
 
 
-def _candidates(members: DataFrame, classes: DataFrame, merged: DataFrame | None, percent: int) -> DataFrame:
-    """a, b: the close pairs of sets that share a list but no component; merged says which components (comp) have become one (top) since."""
+def _mixed(members: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """The members of lists of several components by now; merged says which components (comp) have become one (top) since."""
     members = members.select(*_MEMBERS, "holders")
-    if merged is not None:
-        # Components only grow together, so lists of one component stay so.
-        now = members.join(merged, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).select(*_MEMBERS, "holders")
-        mixed = now.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "band")
-        members = cut(now.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders"))
+    if merged is None:
+        return members
+    # Components only grow together, so lists of one component stay so.
+    now = members.join(merged, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).select(*_MEMBERS, "holders")
+    mixed = now.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "band")
+    return cut(now.join(mixed, ["key", "band"]).select(*_MEMBERS, "holders"))
+
+
+def _in_short(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: the close pairs of sets that share a short list but no component."""
     short = members.where(F.col("holders") <= SHORT)
     met = short.alias("x").join(short.alias("y"), F.expr(f"x.key = y.key and x.band = y.band and x.comp < y.comp and {_plausible('x', 'y', percent)}"))
-    met = met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
-    return _close(met, classes, percent).union(_in_blocks(members.where(F.col("holders") > SHORT), classes, percent)).distinct()
+    return _close(met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct(), classes, percent)
+
+
+def _in_long(members: DataFrame, comp: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """a, b: links that join all components that links within long lists join; None if no pair is close.
+
+    Sets that close pairs join are a cluster. Close pairs can be as many as the
+    square of a group, so they don't leave their tasks.
+    """
+    close = cut(_in_blocks(members.where(F.col("holders") > SHORT), classes, percent, pairs=False))
+    return None if close.isEmpty() else _in_clusters(cut(components(close)).toDF("gid", "cluster"), comp, classes, rows, percent, words)
 
 
 def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
@@ -521,7 +618,9 @@ def every_link(reps: DataFrame, lists: DataFrame, classes: DataFrame, rows: Data
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda c: reps.select("gid", F.explode(c).alias("key"))
     light = cut(ordered(_paired(side("small"), side("large"), ["key"])))
-    heavy = cut(_candidates(_members(lists, None), classes, None, percent).join(light, ["a", "b"], "left_anti"))
+    members = _members(lists, None)
+    close = _in_short(members, classes, percent).union(_in_blocks(members.where(F.col("holders") > SHORT), classes, percent)).distinct()
+    heavy = cut(close.join(light, ["a", "b"], "left_anti"))
     return light.union(_verify(heavy, classes, rows, percent, words))
 
 
@@ -599,14 +698,25 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     links = links.union(light)
     comp = cut(components(links))
     # Lists that are not in one component by then: first each set with a few others, then every pair from different components.
-    members, merged = _members(lists, comp, DRAWS), None
-    for rest in (lambda: _close(_drawn(members, DRAWS), classes, percent), lambda: _candidates(members, classes, merged, percent)):
-        pairs = cut(rest().join(checked, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            more = _verify(pairs, classes, rows, percent, words)
-            links = links.union(more)
-            comp, merged = _joined(comp, more)
-            checked = checked.union(pairs)
+    members = _members(lists, comp, DRAWS)
+    pairs = cut(_close(_drawn(members, DRAWS), classes, percent).join(checked, ["a", "b"], "left_anti"))
+    merged = None
+    if not pairs.isEmpty():
+        more = _verify(pairs, classes, rows, percent, words)
+        links = links.union(more)
+        comp, merged = _joined(comp, more)
+        checked = checked.union(pairs)
+    members = _mixed(members, merged)
+    found = []
+    pairs = cut(_in_short(members, classes, percent).join(checked, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        found.append(_verify(pairs, classes, rows, percent, words))
+        comp = _joined(comp, found[0])[0]
+    if (more := _in_long(members, comp, classes, rows, percent, words)) is not None:
+        found.append(more)
+        comp = _joined(comp, more)[0]
+    for more in found:
+        links = links.union(more)
     named_groups = groups.join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_sig = named_groups.join(least, "comp").select("sig", "gid", F.col("comp").alias("component"), "component_id")
