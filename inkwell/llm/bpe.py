@@ -6,7 +6,8 @@ gives each node the last token of its prefix's encoding: the encoding of a
 prefix is that of a shorter prefix and one more token, and exactly one token
 fits behind the shorter prefix's last token. So a prefix that many words share is
 encoded once, and only one branch is in memory. Words already encoded are kept
-in a bounded table of each Python worker.
+in a bounded table of each Python worker until its task ends: an idle worker
+stays in its executor's memory through the stages that follow.
 
 The normalizer and the splitting into words come from the tokenizer's file, as
 do its special tokens, which are recognised in the raw text.
@@ -17,6 +18,7 @@ repeated, equal results. Extra columns are left out, so names cannot clash.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -170,7 +172,8 @@ class Codec:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or spec.get("decoder"):
             raise ValueError("only plain BPE models without a decoder are supported")
-        own = Tokenizer.from_str(model_json)
+        # Only the normalizer and the splitter of the library's tokenizer are used, so it gets no vocabulary.
+        own = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.normalize, self.split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = PairCheck(model["vocab"], merges, model.get("end_of_word_suffix") or "")
@@ -194,6 +197,11 @@ class Codec:
         self.strings = Table()
         self.strings.put([(" " + self.token[i]).encode() if i in self.token else b"" for i in range(max(self.token) + 1)])
 
+    def rest(self) -> None:
+        """Empty the tables; an idle worker keeps only what the file says."""
+        self.chunks, self.words = Table(), {}
+        self.pairs.known.clear()
+
     def _parts(self, text: str) -> list[str]:
         """The text without its special tokens, with those as every other part."""
         return self.special_split.split(text) if "<" in text else [text]
@@ -307,11 +315,20 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     c = codec(shared)
     for part in _slices(batches):
         yield part, c.encode_batch([t or "" for t in part.column(1).to_pylist()])
-    pa.default_memory_pool().release_unused()
+    c.rest()
+    _give_back()
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

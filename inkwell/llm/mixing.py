@@ -14,9 +14,9 @@ its text; repeated rows fall alike. Extra columns are left as they are by
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkwell.llm.common import WORD, cut
 
@@ -50,11 +50,11 @@ def _numbered(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     parts = cut(sources.orderBy(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
     heads = sorted((r["part"], r["n"], r["least"]) for r in parts.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("least")).collect())
-    rows, before = [], 0
-    for part, n, least in heads:
-        rows.append((part, before - least))
+    shifts, before = [], 0
+    for _, n, least in heads:
+        shifts.append(before - least)
         before += n
-    shift = spark.createDataFrame(rows, "part int, shift long")
+    shift = spark.createDataFrame(pa.table({"part": pa.array([h[0] for h in heads], pa.int32()), "shift": pa.array(shifts, pa.int64())}))
     return parts.join(F.broadcast(shift), "part").select("source", "source_size", (F.col("id") + F.col("shift")).alias("place"))
 
 
@@ -81,9 +81,9 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, driver_
         return _solve_far(sums, tuple(weights), most), False
     rows = sorted((tuple(r) for r in sums.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     share = [weights[i % len(weights)] for i in range(len(rows))]
-    out = [(s, n, t) for (s, n), t in zip(rows, solve([n for _, n in rows], share, most), strict=True)]
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    return spark.createDataFrame(out, schema), True
+    sizes = [n for _, n in rows]
+    # An Arrow table needs no Python workers; a list of rows starts a daemon and its workers in every executor.
+    return spark.createDataFrame(pa.table({"source": pa.array([s for s, _ in rows], pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(solve(sizes, share, most), pa.float64())})), True
 
 
 def _with_rates(sized: DataFrame, table: DataFrame, small: bool) -> DataFrame:
