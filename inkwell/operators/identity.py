@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from operator import add
-from zlib import crc32
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -94,38 +92,84 @@ def action(found: DataFrame, entry: str, old_hash: str, new_hash: str, known_top
     return F.when(F.col(entry).isNull(), "full_process").when(F.col(old_hash) != F.col(new_hash), "backfill").when(F.col(known_topic), "skip").otherwise("map_only")
 
 
-#: Titles of a block on either side of a comparison, buckets of characters that are counted, and most bits of a title's bitmap of bigrams.
-BLOCK, LETTERS, BITMAP = 4096, 32, 1 << 14
+#: Most titles and characters of a block on either side of a comparison, left titles compared at once, bits that are unpacked at once.
+BLOCK, BLOCK_LETTERS, STRIPE, UNPACKED = 8192, 1 << 25, 256, 1 << 22
+#: Buckets of characters that are counted, fewest and most bits of a title's bitmap.
+LETTERS, BITS = 32, (512, 1 << 15)
 #: Length of a right title from which difflib takes no match from characters of more than a hundredth of it, one aside.
 POPULAR = 200
+#: Most tasks of a comparison in blocks.
+MOST_TASKS = 4096
+
+
+def _codes(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The titles' characters one after another, and whose each is."""
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, np.repeat(np.arange(len(titles), dtype=np.uint64), [len(t) for t in titles])
+
+
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their lengths."""
+    at = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(sorted_keys)))
 
 
 def _letters(titles: list[str]) -> np.ndarray:
-    """(bucket, title): how often a title has the characters of each bucket."""
-    out = np.zeros((LETTERS, len(titles)), np.int32)
-    for i, t in enumerate(titles):
-        out[:, i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS)
-    return out
+    """(title, bucket): how often a title has the characters of each bucket."""
+    codes, row = _codes(titles)
+    return np.bincount((row * LETTERS + codes % LETTERS).astype(np.int64), minlength=len(titles) * LETTERS).astype(np.int32).reshape(-1, LETTERS)
 
 
-def _bitmaps(titles: list[str], bits: int) -> np.ndarray:
-    """For each title the parity of its bigrams in each of a number of bits; the same bigram's second, third place count as others."""
+def _bitmaps(titles: list[str], bits: int, size: int) -> np.ndarray:
+    """For each title the parity of its substrings of two or three characters in each of a number of bits, packed; the same substring's second, third place count as others."""
     out = np.zeros((len(titles), bits // 8), np.uint8)
-    for i, t in enumerate(titles):
-        times: dict[str, int] = {}
-        at = []
-        for g in map(add, t, t[1:]):
-            times[g] = n = times.get(g, 0) + 1
-            at.append(crc32(g.encode("utf-8", "surrogatepass"), n) % bits)
-        out[i] = np.packbits((np.bincount(np.array(at, np.int64), minlength=bits) & 1).astype(np.uint8))
-    return out.view(np.uint64)
+    step = max(1, UNPACKED // bits)
+    for i in range(0, len(titles), step):
+        codes, row = _codes(part := titles[i : i + step])
+        # A number for each substring; where two have the same, they count as one.
+        gram = codes[: len(codes) - size + 1]
+        for k in range(1, size):
+            gram = gram * 0x9E3779B97F4A7C15 + codes[k : len(codes) - size + 1 + k]
+        gram = (gram ^ gram >> 32) * 0xD6E8FEB86659FD93 >> 22
+        begins, ends = row[: len(gram)], row[size - 1 :]
+        keys = np.sort((begins << 42 | gram)[begins == ends])
+        at, n = _runs(keys)
+        nth = np.arange(len(keys), dtype=np.uint64) - np.repeat(at, n).astype(np.uint64)
+        h = ((keys & (1 << 42) - 1) + nth * 0xD6E8FEB86659FD93) * 0x9E3779B97F4A7C15
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 >> (65 - bits.bit_length())
+        odd = np.bincount(((keys >> 42) * bits + h).astype(np.int64), minlength=len(part) * bits) & 1
+        out[i : i + step] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
+    return out
 
 
-def _gaps(title: str) -> int:
-    """Most gaps that difflib can leave between matches with this right title: a long title's matches have a rare character each, but for the first."""
-    if len(title) < POPULAR:
-        return len(title)
-    return sum(n for n in Counter(title).values() if n <= len(title) // 100 + 1)
+def _gaps(titles: list[str]) -> np.ndarray:
+    """Most gaps that difflib can leave between matches with each as the right title: a long title's matches have a rare character each, but for the first."""
+    size = np.array([len(t) for t in titles])
+    codes, row = _codes(titles)
+    keys = np.sort(row << 21 | codes)
+    at, n = _runs(keys)
+    of = (keys[at] >> 21).astype(np.int64)
+    rare = np.bincount(of, np.where(n <= size[of] // 100 + 1, n, 0), len(titles)).astype(np.int64)
+    return np.where(size < POPULAR, size, rare)
+
+
+def _reaches(a: str, b: str, threshold: float) -> bool:
+    """Whether difflib's ratio reaches the threshold: its matches are looked for until they are enough, or what is left isn't."""
+    from difflib import SequenceMatcher
+
+    matcher, total = SequenceMatcher(None, a, b), len(a) + len(b)
+    enough = lambda matched: 2.0 * matched / total >= threshold
+    matched, left, open_ = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while open_ and not enough(matched) and enough(matched + left):
+        i, j, k, m = open_.pop()
+        left -= min(j - i, m - k)
+        x, y, n = matcher.find_longest_match(i, j, k, m)
+        if n:
+            matched += n
+            sides = [s for s in ((i, x, k, y), (x + n, j, y + n, m)) if s[0] < s[1] and s[2] < s[3]]
+            left += sum(min(s[1] - s[0], s[3] - s[2]) for s in sides)
+            open_ += sorted(sides, key=lambda s: s[1] - s[0])
+    return enough(matched)
 
 
 def _reaching(threshold: float):
@@ -133,43 +177,67 @@ def _reaching(threshold: float):
 
     At most (1 - t) (|a| + |b|) characters are unmatched. That bounds in how many
     characters both differ and, as each gap between matches changes two bigrams
-    more at most, in how many bigrams.
+    or four trigrams more at most, in how many of these. Trigrams tell titles apart
+    better, but short bitmaps of short titles hold bigrams, whose bound is lower.
+    Bitmaps a and b differ in |a| + |b| - 2 ab bits, so a product of matrices
+    compares a stripe of left titles with all right ones of like length.
     """
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        ks, qs = sorted(left["k"].tolist(), key=len), sorted(right["q"].tolist(), key=len)
+        ks, qs = set(left["k"]), sorted(right["q"], key=len)
+        cut_at = bisect_left(qs, POPULAR, key=len)
+        out = reached(sorted(ks, key=len), qs[:cut_at])
+        out |= reached(sorted(ks - out, key=len), qs[cut_at:])
+        return pd.DataFrame({"k": pd.Series(sorted(out), dtype="str")})
+
+    def reached(ks: list[str], qs: list[str]) -> set[str]:
+        """Right titles of either side of the length at which difflib's rule changes."""
         if not ks or not qs:
-            return pd.DataFrame({"k": pd.Series([], dtype="str")})
-        bits = min(BITMAP, max(1024, 1 << (8 * len(ks[-1]) - 1).bit_length()))
-        a, b = _bitmaps(ks, bits), _bitmaps(qs, bits)
-        most = max(len(ks[-1]), len(qs[-1]))
-        small = np.int16 if 2 * most < 1 << 15 else np.int32
-        la, lb = _letters(ks).T.astype(small), _letters(qs).astype(small)
-        nb, gaps = np.array([len(q) for q in qs]), np.array([_gaps(q) for q in qs])
-        out = []
-        for k, own, counts in zip(ks, a, la, strict=True):
-            n = len(k)
-            lo, hi = np.searchsorted(nb, [threshold * n / (2 - threshold) - 1e-6, (2 - threshold) * n / threshold + 1e-6])
-            total = n + nb[lo:hi]
-            lost = np.floor((1 - threshold) * total + 1e-6).astype(small)
-            may = np.flatnonzero(np.abs(lb[:, lo:hi] - counts[:, None]).sum(0, dtype=small) <= lost)
-            if not len(may):
-                continue
-            lost = lost[may].astype(np.int64)
-            may += lo
-            differ = np.bitwise_count(b[may] ^ own).sum(1, dtype=np.int64)
-            near = differ <= lost + 2 * np.minimum(lost, gaps[may])
-            may, differ = may[near], differ[near]
-            masks: dict[str, int] = {}
-            for i, c in enumerate(k if len(may) else ""):
-                masks[c] = masks.get(c, 0) | 1 << i
-            for j in may[np.argsort(differ, kind="stable")].tolist():
-                if _common(masks, n, qs[j]) >= threshold * (n + len(qs[j])) / 2 - 1e-9 and SequenceMatcher(None, k, qs[j]).ratio() >= threshold:
-                    out.append(k)
-                    break
-        return pd.DataFrame({"k": pd.Series(out, dtype="str")})
+            return set()
+        size = 3 if len(qs[0]) >= POPULAR else 2
+        bits = min(BITS[1] // 4, max(BITS[0], 1 << (len(qs[-1]) - 1).bit_length()))
+        fine = [_bitmaps(x, 4 * bits, 3) for x in (ks, qs)]
+        # Parity of four bits each: a quarter of the product's work, and it leaves few.
+        a, b = (np.bitwise_xor.reduce(x.reshape(len(x), 4, -1), axis=1) for x in fine) if size == 3 else (_bitmaps(x, bits, size) for x in (ks, qs))
+        wa, wb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
+        fine = [x.view(np.uint64) for x in fine]
+        la, lb = _letters(ks), _letters(qs)
+        na, nb, gaps = np.array([len(k) for k in ks]), np.array([len(q) for q in qs]), _gaps(qs)
+        unpacked = lambda x: np.unpackbits(x, axis=1).astype(np.float32)
+        unmatched = lambda n, at: np.floor((1 - threshold) * (n + nb[at]) + 1e-6).astype(np.int64)
+        allowed = lambda lost, at, size: lost + 2 * (size - 1) * np.minimum(lost, gaps[at])
+        window = lambda n, m: np.searchsorted(nb, [threshold * n / (2 - threshold) - 1e-6, (2 - threshold) * m / threshold + 1e-6]).tolist()
+        step = max(1, UNPACKED // bits)
+        out = set()
+        for s in range(0, len(ks), STRIPE):
+            stripe = slice(s, s + STRIPE)
+            low, high = window(na[stripe][0], na[stripe][-1])
+            x = unpacked(a[stripe]) if low < high else None
+            for c in range(low, high, step):
+                at = slice(c, min(c + step, high))
+                # Bits that both need at least, by the longest of the stripe; each title's own bound follows.
+                both = x @ unpacked(b[at]).T
+                both -= ((wb[at] - allowed(unmatched(na[stripe][-1], at), at, size)) / 2).astype(np.float32)
+                near = both >= (wa[stripe] / 2).astype(np.float32)[:, None]
+                for i in (np.flatnonzero(near.any(1)) + s).tolist():
+                    if i in out:
+                        continue
+                    k, n = ks[i], len(ks[i])
+                    may = np.flatnonzero(near[i - s]) + c
+                    lo, hi = window(n, n)
+                    may = may[(may >= lo) & (may < hi)]
+                    lost = unmatched(n, may)
+                    differ = np.bitwise_count(fine[1][may] ^ fine[0][i]).sum(1, dtype=np.int64)
+                    like = (differ <= allowed(lost, may, 3)) & (np.abs(lb[may] - la[i]).sum(1) <= lost)
+                    may, differ = may[like], differ[like]
+                    masks: dict[str, int] = {}
+                    for p, ch in enumerate(k if len(may) else ""):
+                        masks[ch] = masks.get(ch, 0) | 1 << p
+                    for j in may[np.argsort(differ, kind="stable")].tolist():
+                        if _common(masks, n, qs[j]) >= threshold * (n + len(qs[j])) / 2 - 1e-9 and _reaches(k, qs[j], threshold):
+                            out.add(i)
+                            break
+        return {ks[i] for i in out}
 
     return found
 
@@ -179,29 +247,34 @@ def dedup_against(batch: DataFrame, index: DataFrame, threshold: float = 0.90) -
 
     batch and index: pos, doi, title. Titles match from a difflib ratio on. The
     batch's distinct titles are the queries, held against the index's titles of
-    like length in blocks; within a task counts of characters and bitmaps of
-    bigrams rule nearly all pairs out, then a common subsequence does, and only
-    the matching titles are rows.
+    like length in blocks; within a task bitmaps of bigrams and counts of
+    characters rule nearly all pairs out, then a common subsequence does, and
+    only the matching titles are rows.
     """
     left = batch.join(index.where("doi is not null").select("doi").distinct(), "doi", "left_anti")
     lk = cut(left.select("pos", T.title_key_unicode(F.col("title")).alias("k")).where("k != ''"))
     rk = cut(index.select(T.title_key_unicode(F.col("title")).alias("q")).where("q != ''").distinct())
     same = lk.join(rk, lk["k"] == rk["q"], "left_semi").select("pos", "k")
     # A ratio of t means at least t (|a| + |b|) / 2 equal characters, so lengths are in one band or in neighbouring ones.
-    band = lambda c: F.floor(F.log(F.length(c)) / math.log((2 - threshold) / threshold) + 1e-9).cast("int")
+    wide = (2 - threshold) / threshold
+    band = lambda c: F.floor(F.log(F.length(c)) / math.log(wide) + 1e-9).cast("int")
     asked = lk.join(same.select("k").distinct(), "k", "left_anti").select("k").distinct().withColumn("own", band("k"))
     known = rk.withColumn("band", band("q"))
-    blocks = known.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Long titles' blocks have fewer, by the longest that a band may have.
+    n_blocks = F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_LETTERS / F.pow(F.lit(wide), F.col("band") + 1))))).cast("int")
+    blocks = known.groupBy("band").agg(n_blocks.alias("blocks"))
     looked = asked.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    rounds = looked.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
+    rounds = looked.groupBy("band").agg(n_blocks.alias("rounds"))
     # As many rows as bands of length.
-    sizes = F.broadcast(cut(blocks.join(rounds, "band")))
+    sizes = cut(blocks.join(rounds, "band"))
+    # Few bytes are much work here: as many tasks as pairs of blocks, which a stated number keeps from being merged by size.
+    tasks = max(1, min(MOST_TASKS, sizes.agg(F.sum(F.col("blocks").cast("long") * F.col("rounds"))).first()[0] or 0))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    ls = looked.join(sizes, "band").select("k", "band", own("k", "rounds").alias("x"), every("blocks").alias("y"))
-    rs = known.join(sizes, "band").select("q", "band", own("q", "blocks").alias("y"), every("rounds").alias("x"))
+    ls = looked.join(F.broadcast(sizes), "band").select("k", "band", own("k", "rounds").alias("x"), every("blocks").alias("y"))
+    rs = known.join(F.broadcast(sizes), "band").select("q", "band", own("q", "blocks").alias("y"), every("rounds").alias("x"))
     on = ["band", "x", "y"]
-    near = ls.groupBy(*on).cogroup(rs.groupBy(*on)).applyInPandas(_reaching(threshold), "k string").distinct()
+    near = ls.repartition(tasks, *on).groupBy(*on).cogroup(rs.repartition(tasks, *on).groupBy(*on)).applyInPandas(_reaching(threshold), "k string").distinct()
     matched = same.select("pos").union(lk.join(near, "k", "left_semi").select("pos"))
     return left.join(matched.distinct(), "pos", "left_anti")
 
